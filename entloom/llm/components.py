@@ -1,0 +1,36 @@
+"""Connected components of an edge table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .store import Store
+
+
+def components(edges: DataFrame, store: Store, name: str, most_rounds: int = 40) -> DataFrame:
+    """(id, root) of every node with an edge; root is the least id of its component.
+
+    `edges` has (a, b).  Self-loops and nulls are dropped; no edges give no rows.
+    Every round is a written table, so that the plan stays one round deep.  Stars
+    are taken by window, which spills, so a node may have any number of partners.
+    """
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = store.keep(e, f"{name}-0")
+    sign = None
+    for k in range(1, most_rounds + 1):
+        both = e.union(e.select("v", "u"))
+        low = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
+        large = both.select("u", "v", low.alias("m")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # every node of `large` hangs from smaller ones only; they in turn hang from the least of them
+        low = F.min("v").over(Window.partitionBy("u"))
+        small = large.select("u", "v", low.alias("m"))
+        e2 = small.select("u", F.col("m").alias("v")).union(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        e2 = store.keep(e2, f"{name}-{k}")
+        now = e2.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
+        store.drop(f"{name}-{k - 1}")
+        e = e2
+        if now == sign:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        sign = now
+    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
