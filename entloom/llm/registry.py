@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op6_neardup
+from . import op1_secrets, op5_language, op6_neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secrets.query,
+    "op5_language_id": op5_language.query,
     "op6_minhash_near_dedup": op6_neardup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": op1_secrets.SQL,
+}

@@ -29,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows and bytes of one Arrow batch to a Python worker, unless the session has other values than Spark's own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make Spark's default Arrow batches large in the JVM and in the workers; this bounds them."""
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 class Store:
     """Tables of one operator call under a folder of their own."""
 
