@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bytesx as bx
 from .components import components
-from .store import Store
+from .store import Store, small_batches
 
 NGRAM = 3
 BANDS, ROWS = 22, 3
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ties.  No rows give no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     store = Store(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     df, n = document_frequencies(docs)
