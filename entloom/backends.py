@@ -1,0 +1,310 @@
+"""Model plug points and local deterministic backends.
+
+A backend is pickled to the executors, so it loads its model on first use there.
+Remote language models fit :class:`ToolClient`, given a function that sends one
+request; no network library is needed here.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import logging
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from typing import Any, Protocol, runtime_checkable
+
+import numpy as np
+
+from .schema import EntitySchema
+
+log = logging.getLogger(__name__)
+
+
+class BackendError(RuntimeError):
+    """A backend that failed for good, or whose answer breaks its contract."""
+
+
+@dataclass(frozen=True)
+class Prediction:
+    start: int
+    end: int
+    label: str
+    score: float
+
+
+@dataclass(frozen=True)
+class Group:
+    """Mentions of one document that are one entity."""
+
+    mention_ids: tuple[str, ...]
+    canonical: str
+    type: str
+    confidence: float
+    rationale: str = ""
+
+
+@dataclass(frozen=True)
+class Merge:
+    """Where a borderline entity goes; no target: nowhere."""
+
+    entity_id: str
+    target: str | None
+    confidence: float
+    rationale: str = ""
+
+
+@runtime_checkable
+class Extractor(Protocol):
+    model_id: str
+
+    def predict(self, text: str, schema: EntitySchema) -> Sequence[Prediction]: ...
+
+
+@runtime_checkable
+class CorefClient(Protocol):
+    model_id: str
+
+    def group(self, doc_id: str, text: str, mentions: Sequence[dict[str, Any]], schema: EntitySchema) -> Sequence[Group]: ...
+
+
+@runtime_checkable
+class TieBreaker(Protocol):
+    model_id: str
+
+    def decide(self, candidates: Sequence[dict[str, Any]], clusters: dict[str, str]) -> Sequence[Merge]: ...
+
+
+@runtime_checkable
+class Embedder(Protocol):
+    model_id: str
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray: ...
+
+
+@dataclass
+class KeywordExtractor:
+    """Words of a list, by label; the first occurrence or all of them."""
+
+    keywords: dict[str, list[str]]
+    score: float = 0.9
+    model_id: str = "keywords"
+
+    def predict(self, text: str, schema: EntitySchema) -> list[Prediction]:
+        return [Prediction(m.start(), m.end(), label, self.score) for label, words in self.keywords.items() for w in words for m in re.finditer(re.escape(w), text)]
+
+
+@dataclass
+class SameSurfaceCoref:
+    """Mentions of one type and equal text, whatever its case, are one entity."""
+
+    confidence: float = 0.9
+    model_id: str = "same-surface"
+
+    def key(self, mention: dict[str, Any]) -> str:
+        return mention["text"].lower()
+
+    def group(self, doc_id: str, text: str, mentions: Sequence[dict[str, Any]], schema: EntitySchema) -> list[Group]:
+        found: dict[tuple[str, str], list[dict[str, Any]]] = {}
+        for m in mentions:
+            found.setdefault((m["type"], self.key(m)), []).append(m)
+        return [Group(tuple(m["id"] for m in ms), max(ms, key=lambda m: len(m["text"]))["text"], kind, self.confidence) for (kind, _), ms in found.items()]
+
+
+@dataclass
+class FirstWordCoref(SameSurfaceCoref):
+    """Mentions of one type whose first words agree are one entity."""
+
+    model_id: str = "first-word"
+
+    def key(self, mention: dict[str, Any]) -> str:
+        return mention["text"].split()[0].lower() if mention["text"].split() else ""
+
+
+@dataclass
+class NearestTieBreaker:
+    """Sends every candidate to its nearest cluster, or from a similarity on."""
+
+    least: float = 0.0
+    confidence: float = 0.9
+    model_id: str = "nearest"
+
+    def decide(self, candidates: Sequence[dict[str, Any]], clusters: dict[str, str]) -> list[Merge]:
+        return [Merge(c["entity_id"], c["nearest_cluster_id"] if (c["nearest_similarity"] or 0) >= self.least else None, self.confidence) for c in candidates]
+
+
+@dataclass
+class HashedEmbedder:
+    """Unit vectors from hashed character n-grams."""
+
+    dim: int = 64
+    n: int = 3
+    model_id: str = "hashed-ngrams"
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros((0, 0), dtype=np.float32)
+        out = np.zeros((len(texts), self.dim))
+        for k, text in enumerate(texts):
+            t = f" {text.lower()} "
+            for i in range(max(1, len(t) - self.n + 1)):
+                h = int.from_bytes(hashlib.md5(t[i : i + self.n].encode()).digest()[:8], "big")
+                out[k, h % self.dim] += 1 if h >> 63 else -1
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+@dataclass
+class FirstLetterEmbedder:
+    """One axis for each first letter; for tests."""
+
+    model_id: str = "first-letter"
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros((0, 0), dtype=np.float32)
+        out = np.zeros((len(texts), 27), dtype=np.float32)
+        for k, text in enumerate(texts):
+            c = text[:1].lower()
+            out[k, ord(c) - 97 if "a" <= c <= "z" else 26] = 1
+        return out
+
+
+def checked_groups(groups: Sequence[Group], mentions: Sequence[dict[str, Any]], schema: EntitySchema) -> list[Group]:
+    """The groups, if they are a partition of the mentions with types of the schema."""
+    wanted, seen = {m["id"] for m in mentions}, []
+    for g in groups:
+        if not g.mention_ids:
+            raise BackendError("a group has no mentions")
+        if schema.type_by_name(g.type) is None:
+            raise BackendError(f"unknown type {g.type!r}")
+        if not 0 <= g.confidence <= 1:
+            raise BackendError(f"confidence {g.confidence} isn't between 0 and 1")
+        seen += g.mention_ids
+    if unknown := sorted(set(seen) - wanted):
+        raise BackendError(f"unknown mentions {unknown}")
+    if again := sorted({m for m in seen if seen.count(m) > 1}):
+        raise BackendError(f"mentions in two places {again}")
+    if missing := sorted(wanted - set(seen)):
+        raise BackendError(f"mentions in no group {missing}")
+    return list(groups)
+
+
+def checked_merges(merges: Sequence[Merge], entity_ids: Sequence[str], clusters: dict[str, str]) -> list[Merge]:
+    """The decisions, if there is one for each entity and all targets exist."""
+    found = {m.entity_id for m in merges}
+    if unknown := sorted(found - set(entity_ids)):
+        raise BackendError(f"decisions on unknown entities {unknown}")
+    if targets := sorted({m.target for m in merges if m.target is not None} - set(clusters)):
+        raise BackendError(f"unknown clusters {targets}")
+    if missing := sorted(set(entity_ids) - found):
+        raise BackendError(f"no decision on {missing}")
+    return list(merges)
+
+
+GROUP_TOOL = {
+    "name": "report_entities",
+    "description": "Report every entity of the document with the ids of all its mentions.",
+    "input_schema": {
+        "type": "object",
+        "required": ["clusters"],
+        "properties": {
+            "clusters": {
+                "type": "array",
+                "items": {
+                    "type": "object",
+                    "required": ["mention_ids", "canonical", "type", "confidence"],
+                    "properties": {"mention_ids": {"type": "array", "items": {"type": "string"}, "minItems": 1}, "canonical": {"type": "string"}, "type": {"type": "string"}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "rationale": {"type": "string"}},
+                },
+            }
+        },
+    },
+}
+MERGE_TOOL = {
+    "name": "report_merges",
+    "description": "For every candidate say which cluster it joins, or null if none.",
+    "input_schema": {
+        "type": "object",
+        "required": ["decisions"],
+        "properties": {
+            "decisions": {
+                "type": "array",
+                "items": {
+                    "type": "object",
+                    "required": ["entity_id", "target_cluster_id", "confidence"],
+                    "properties": {"entity_id": {"type": "string"}, "target_cluster_id": {"type": ["string", "null"]}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "rationale": {"type": "string"}},
+                },
+            }
+        },
+    },
+}
+GROUP_PROMPT = "You sort the marked mentions of one document into entities. Each mention belongs to exactly one entity. Name an entity by its fullest form. Answer only through the tool."
+MERGE_PROMPT = "You decide whether an entity is the same thing in the world as the cluster nearest to it. Prefer null if the contexts don't settle it. Answer only through the tool."
+
+
+def schema_block(schema: EntitySchema) -> str:
+    """The types as text that opens every prompt, so that a server can cache it."""
+    return "Entity types:\n" + "\n".join(f"- {t.name}: {t.description}" + (f" (such as {', '.join(t.examples)})" if t.examples else "") for t in schema.types)
+
+
+def group_payload(text: str, mentions: Sequence[dict[str, Any]]) -> str:
+    rows = [{"id": m["id"], "start": m["start"], "end": m["end"], "text": m["text"], "type": m["type"], "score": round(m["score"], 3)} for m in mentions]
+    return f"<document>\n{text}\n</document>\n<mentions>\n{json.dumps(rows, ensure_ascii=False)}\n</mentions>"
+
+
+def as_function(tool: dict[str, Any]) -> dict[str, Any]:
+    """A tool in the form that chat-completion servers take."""
+    return {"type": "function", "function": {"name": tool["name"], "description": tool["description"], "parameters": tool["input_schema"]}}
+
+
+@dataclass
+class ToolClient:
+    """Coreference and tie-breaks by a language model that is made to call a tool.
+
+    `send(system, schema_block, prompt, tool)` returns (arguments, usage): the tool's
+    arguments, as a mapping or JSON text, and token counts by name.  A failed call, or
+    an answer that isn't valid, is tried again at once, `attempts` times in all.
+    """
+
+    send: Callable[[str, str, str, dict[str, Any]], tuple[Any, dict[str, int]]]
+    model_id: str = "tool-client"
+    attempts: int = 3
+    usage: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def cache_hit_ratio(self) -> float | None:
+        """Share of input tokens that a server read from its cache; None before any call."""
+        total = sum(self.usage.get(k, 0) for k in ("input_tokens", "cache_read_tokens", "cache_write_tokens"))
+        return self.usage.get("cache_read_tokens", 0) / total if total else None
+
+    def _call(self, system: str, block: str, prompt: str, tool: dict[str, Any], take: Callable[[dict[str, Any]], Any]) -> Any:
+        last: Exception | None = None
+        for k in range(self.attempts):
+            try:
+                arguments, usage = self.send(system, block, prompt, tool)
+                for name, n in usage.items():
+                    self.usage[name] = self.usage.get(name, 0) + n
+                return take(json.loads(arguments) if isinstance(arguments, str) else arguments)
+            except Exception as e:  # whatever the transport raises
+                last = e
+                log.warning("attempt %d of %d failed: %s", k + 1, self.attempts, e)
+        raise BackendError(f"{tool['name']} failed {self.attempts} times: {last}") from last
+
+    def group(self, doc_id: str, text: str, mentions: Sequence[dict[str, Any]], schema: EntitySchema) -> list[Group]:
+        if not mentions:
+            return []
+
+        def take(a: dict[str, Any]) -> list[Group]:
+            return checked_groups([Group(tuple(c["mention_ids"]), c["canonical"], c["type"], float(c["confidence"]), c.get("rationale", "")) for c in a["clusters"]], mentions, schema)
+
+        return self._call(GROUP_PROMPT, schema_block(schema), group_payload(text, mentions), GROUP_TOOL, take)
+
+    def decide(self, candidates: Sequence[dict[str, Any]], clusters: dict[str, str]) -> list[Merge]:
+        if not candidates:
+            return []
+        prompt = json.dumps({"candidates": list(candidates), "clusters": clusters}, ensure_ascii=False)
+
+        def take(a: dict[str, Any]) -> list[Merge]:
+            return checked_merges([Merge(d["entity_id"], d["target_cluster_id"], float(d["confidence"]), d.get("rationale", "")) for d in a["decisions"]], [c["entity_id"] for c in candidates], clusters)
+
+        return self._call(MERGE_PROMPT, "", prompt, MERGE_TOOL, take)

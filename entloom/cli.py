@@ -1,0 +1,145 @@
+"""Command line: python -m entloom.cli."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import logging
+import sys
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+from .backends import NearestTieBreaker
+from .operators import evaluate, review
+from .plans import pipeline
+from .schema import DEFAULT_SCHEMA, load_schema, save_schema
+from .sources.documents import read_documents
+from .sources.workdir import Workdir, load_gold, read_review, write_review
+
+
+def _spark() -> SparkSession:
+    return SparkSession.builder.appName("entloom").getOrCreate()
+
+
+def _parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="entloom", description="Entities from documents, resolved across them.")
+    p.add_argument("-v", "--verbose", action="store_true")
+    sub = p.add_subparsers(dest="command", required=True)
+    schema = sub.add_parser("schema").add_subparsers(dest="action", required=True)
+    init = schema.add_parser("init")
+    init.add_argument("--out", default="schema.yaml")
+    init.add_argument("--force", action="store_true")
+    schema.add_parser("validate").add_argument("path")
+    for name in ("extract", "pipeline"):
+        c = sub.add_parser(name)
+        c.add_argument("input")
+        c.add_argument("-s", "--schema", required=True)
+        c.add_argument("-o", "--out", required=True)
+        c.add_argument("--threshold", type=float, default=0.4)
+        if name == "pipeline":
+            c.add_argument("--merge", type=float, default=0.82)
+            c.add_argument("--borderline", type=float, default=0.75)
+            c.add_argument("--no-tiebreak", action="store_true")
+            c.add_argument("--against")
+    c = sub.add_parser("resolve")
+    c.add_argument("workdir")
+    c.add_argument("--threshold", type=float, default=0.82)
+    c.add_argument("--no-tiebreak", action="store_true")
+    c.add_argument("--against")
+    sub.add_parser("rebuild-centroids").add_argument("workdir")
+    r = sub.add_parser("review").add_subparsers(dest="action", required=True)
+    for name in ("export", "lint", "import"):
+        c = r.add_parser(name)
+        c.add_argument("workdir")
+        c.add_argument("--dir")
+        if name == "export":
+            c.add_argument("--only-flagged", action="store_true")
+        if name == "import":
+            c.add_argument("--strict", action="store_true")
+    c = sub.add_parser("eval")
+    c.add_argument("workdir")
+    c.add_argument("--gold", required=True)
+    c.add_argument("--sweep", action="store_true")
+    c.add_argument("--json-out")
+    sub.add_parser("inspect").add_argument("workdir")
+    return p
+
+
+def _run(a: argparse.Namespace) -> int:
+    if a.command == "schema":
+        if a.action == "init":
+            if Path(a.out).exists() and not a.force:
+                print(f"{a.out} is there already; --force replaces it", file=sys.stderr)
+                return 1
+            save_schema(DEFAULT_SCHEMA, a.out)
+            print(f"wrote {a.out}")
+        else:
+            found = load_schema(a.path)
+            print(f"fingerprint {found.fingerprint()}, version {found.version}")
+            for t in found.types:
+                print(f"- {t.name}: {t.description}")
+        return 0
+    spark = _spark()
+    tiebreaker = None if getattr(a, "no_tiebreak", True) else NearestTieBreaker()
+    if a.command in ("extract", "pipeline"):
+        schema, docs = load_schema(a.schema), read_documents(spark, a.input)
+        if a.command == "pipeline":
+            done = pipeline.run(spark, docs, schema, a.out, tiebreaker=tiebreaker, merge=a.merge, borderline=a.borderline, threshold=a.threshold, incremental_from=a.against)
+            print(json.dumps(done.manifest, indent=2))
+        else:
+            work = Workdir(spark, a.out)
+            work.save_schema(schema)
+            docs = work.save(docs.select("doc_id", "text"), "documents")
+            print(f"{work.save(pipeline.extract_entities(docs, schema, threshold=a.threshold), 'entities').count()} entities")
+        return 0
+    work = Workdir(spark, a.workdir)
+    if a.command == "resolve":
+        _, registry = pipeline.resolve(work, work.schema(), tiebreaker, merge=a.threshold, borderline=min(a.threshold, 0.75), against=a.against)
+        print(f"{registry.count()} clusters")
+    elif a.command == "rebuild-centroids":
+        print(f"{pipeline.rebuild_centroids(work).count()} centroids")
+    elif a.command == "review":
+        folder = a.dir or work.path("review")
+        if a.action == "export":
+            lines = review.review_lines(work.load("entities"), work.load("flagged"), a.only_flagged)
+            write_review(review.to_jsonl(lines, review.header(work.load("documents"), work.schema().version)), folder)
+            print(f"wrote {folder}")
+        elif a.action == "lint":
+            headers, lines = read_review(spark, folder)
+            wrong = review.lint(lines, headers, work.load("documents"), work.schema(), work.load("entities")).orderBy("doc_id", "line").collect()
+            for r in wrong:
+                print(f"{r.doc_id}:{r.line}: {r.message}")
+            return int(bool(wrong))
+        else:
+            print(f"{pipeline.import_reviewed(work, folder, a.strict).count()} entities")
+    elif a.command == "eval":
+        gold = load_gold(spark, a.gold)
+        entities = work.load("entities")
+        report = evaluate.evaluate(entities.select("doc_id", "entity_id", "cluster_id"), gold)
+        if a.sweep:
+            report = evaluate.sweep_thresholds(work.load("vectors"), gold)
+            best = evaluate.best_point(report).first()
+            print(f"best merge threshold {best.merge_threshold} with pairwise F1 {best.pairwise_f1:.3f}")
+        report.show(truncate=False)
+        if a.json_out:
+            Path(a.json_out).write_text(json.dumps([r.asDict() for r in report.collect()], indent=2), encoding="utf-8")
+    elif a.command == "inspect":
+        print(json.dumps(work.manifest(), indent=2))
+        pipeline.inspect(work.load("entities")).show(20, truncate=False)
+        print("types: " + ", ".join(work.schema().type_names))
+    return 0
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = _parser().parse_args(argv)
+    logging.basicConfig(level=logging.INFO if a.verbose else logging.WARNING)
+    try:
+        return _run(a)
+    except (FileNotFoundError, ValueError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+
+
+if __name__ == "__main__":
+    sys.exit(main())
