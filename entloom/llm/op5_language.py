@@ -32,8 +32,11 @@ FILTERS = sum(WIDTHS.values())
 TRAIN_DOCS = 250
 TRAIN_WINDOWS = 3
 EPOCHS = 5
-MIN_CONFIDENCE = 0.6
+#: A document has a language if all languages together have this probability.
+MIN_SPOKEN = 0.5
 NONE = "und"
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = _LETTER[128:] = True
 
 
 @dataclass
@@ -116,6 +119,13 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
             short[0, :cut] = raw[at : at + cut]
             xs.append(short)
             ys.append(classes.index(label))
+            mixed = short.copy()  # and so are texts between numbers and signs
+            words = np.flatnonzero(short[0] == 32)[:-1]
+            for at in rng.choice(words, min(len(words), int(rng.integers(1, 5))), replace=False):
+                run = rng.choice(_DIGITS, int(rng.integers(4, 24)))
+                mixed[0] = np.concatenate([mixed[0, : at + 1], run, mixed[0, at:]])[:WINDOW]
+            xs.append(mixed)
+            ys.append(classes.index(label))
     n_noise = max(8, len(ys) // max(1, len(classes)))
     xs.append(_noise(rng, n_noise))
     ys += [len(classes) - 1] * n_noise
@@ -167,6 +177,9 @@ def _gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np
     return {"embed": d_embed, "filters": d_filters, "bias": dh.sum(axis=0), "out": act.T @ dz, "out_bias": dz.sum(axis=0)}
 
 
+_DIGITS = np.frombuffer(b"0123456789012345678901234567890123456789.-+() :=", dtype=np.uint8)
+
+
 def _noise(rng: np.random.Generator, n: int) -> np.ndarray:
     """Windows that are no language: digits, symbols, encoded bytes, one byte again and again."""
     kinds = [b"0123456789 ", b"0123456789abcdef", b"!#$%&*+-/<=>?@[]^_{}|~;: ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", bytes(range(128, 256)), b" \t\n."]
@@ -195,36 +208,40 @@ def training_rows(docs: DataFrame, per_class: int = TRAIN_DOCS) -> tuple[list[st
 def classify(model_b, text: Column) -> Column:
     """struct(language, confidence) of a text column.
 
-    Null, empty and blank texts are NONE with confidence 1.  Ties between
-    languages go to the first by name.
+    Windows count by their letters, so numbers and signs between words decide
+    nothing.  Null, empty and letterless texts are NONE with confidence 1.  Ties
+    between languages go to the first by name.
     """
 
-    @F.arrow_udf("language string, confidence double")
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m: Model = model_b.value
-        names = np.array(m.classes)
+        names, none = np.array(m.classes), len(m.classes) - 1
         for column in it:
             data, off = bx.buffers(column)
-            best, sure = np.full(len(column), len(m.classes) - 1), np.ones(len(column))
+            best, sure = np.full(len(column), none), np.ones(len(column))
             for lo, hi in bx.slices(off):
-                x, doc, real = windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                x, doc, _ = windows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 if not len(doc):
                     continue
-                score = log_probs(m, x).astype(np.float64) * real[:, None]
-                z = np.stack([np.bincount(doc, score[:, c], minlength=hi - lo) for c in range(len(m.classes))], axis=1)
-                z /= np.maximum(np.bincount(doc, real, minlength=hi - lo), 1)[:, None]
+                letters = _LETTER[x].sum(axis=1).astype(np.float64)
+                some = letters > 0
+                score = log_probs(m, x[some]).astype(np.float64) * letters[some, None]
+                total = np.bincount(doc[some], letters[some], minlength=hi - lo)
+                z = np.stack([np.bincount(doc[some], score[:, c], minlength=hi - lo) for c in range(len(m.classes))], axis=1)
+                z /= np.maximum(total, 1)[:, None]
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 e /= e.sum(axis=1, keepdims=True)
-                some = np.bincount(doc, (x > 32).any(axis=1), minlength=hi - lo) > 0
-                best[lo:hi][some] = e.argmax(axis=1)[some]
-                sure[lo:hi][some] = e.max(axis=1)[some]
+                spoken = (total > 0) & (1 - e[:, none] >= MIN_SPOKEN) & (none > 0)
+                top = e[:, :none].argmax(axis=1) if none else np.zeros(hi - lo, np.int64)
+                best[lo:hi] = np.where(spoken, top, none)
+                sure[lo:hi] = np.where(spoken, e[np.arange(hi - lo), top], np.where(total > 0, e[:, none], 1.0))
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(np.round(sure, 4))], ["language", "confidence"])
 
-    return run.asNondeterministic()(text.cast("string"))
+    return F.arrow_udf(run, "language string, confidence double").asNondeterministic()(text.cast("string"))
 
 
 def accepted(found: Column) -> Column:
-    return (found["language"] != NONE) & (found["confidence"] >= MIN_CONFIDENCE)
+    return found["language"] != NONE
 
 
 def fitted(docs: DataFrame):
@@ -235,8 +252,8 @@ def fitted(docs: DataFrame):
 def identify(docs: DataFrame, model_b=None) -> DataFrame:
     """(doc_id, language, confidence, accepted) of every row, null doc_ids and repeated rows too.
 
-    A document is accepted when it has a language and MIN_CONFIDENCE is reached.
-    No rows give no rows.  Other columns are not read.
+    A document is accepted when it has a language; one of several languages has
+    one too.  No rows give no rows.  Other columns are not read.
     """
     model_b = model_b or fitted(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), classify(model_b, F.col("text")).alias("found"))
