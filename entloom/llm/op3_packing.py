@@ -113,7 +113,7 @@ def packed(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     store = Store(spark, "packing")
-    n = tk.count(F.col("text")) if tokens is None else tokens.cast("long")
+    n = tk.counted_once(F.col("text")) if tokens is None else tokens.cast("long")
     longest = TIERS[-1]
     counts = store.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).filter("n > 0"), "lengths")
     total = counts.agg(F.sum(F.ceil(F.col("n") / longest))).first()[0] or 0
