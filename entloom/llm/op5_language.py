@@ -227,8 +227,7 @@ def classify(model_b, text: Column) -> Column:
                 some = letters > 0
                 score = log_probs(m, x[some]).astype(np.float64) * letters[some, None]
                 total = np.bincount(doc[some], letters[some], minlength=hi - lo)
-                z = np.stack([np.bincount(doc[some], score[:, c], minlength=hi - lo) for c in range(len(m.classes))], axis=1)
-                z /= np.maximum(total, 1)[:, None]
+                z = np.stack([np.bincount(doc[some], score[:, c], minlength=hi - lo) for c in range(len(m.classes))], axis=1) / np.maximum(total, 1)[:, None]
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 e /= e.sum(axis=1, keepdims=True)
                 spoken = (total > 0) & (1 - e[:, none] >= MIN_SPOKEN) & (none > 0)
