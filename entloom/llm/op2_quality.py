@@ -90,7 +90,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:] = np.stack(
         [
             np.log1p(size), np.log1p(words), *(kinds[:, k] / bytes_ for k in range(len(_KINDS))), entropy, mean, spread, most, per(wdoc, length <= 3) / some, upper / some, mixed / some,
-            distinct / some, top / some, trigrams, lines / some, size / np.maximum(lines, 1), 1 - whole / np.maximum(lines, 1), kinds[:, 5] / some, kinds[:, 6] / some,
+            distinct / some, top / some, trigrams, lines / some, size / np.maximum(lines, 1), np.where(lines > 0, 1 - whole / np.maximum(lines, 1), 0), kinds[:, 5] / some, kinds[:, 6] / some,
         ],
         axis=1,
     )

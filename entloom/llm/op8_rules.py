@@ -66,7 +66,7 @@ def rules(d: Dialect) -> dict[str, str]:
         "exclamations": f"{d.chars('!')} <= 0.3 * {d.words()} + 3",
         "digits": f"{d.chars('0-9')} <= 0.3 * length(text) + 24",
         "word_length": f"length(text) <= 16.0 * {d.words()} + 64",
-        "repeated_words": f"{d.distinct(split)} >= 0.3 * {d.words()} - 6",
+        "repeated_words": f"{d.distinct(split)} >= least(0.3 * {d.words()}, 5.0 * sqrt({d.words()})) - 6",  # a long text's vocabulary grows more slowly than its length
         "repeated_lines": f"{d.distinct(lines)} >= 0.5 * {d.size(lines)} - 1",
     }
 
