@@ -123,7 +123,7 @@ def copies(rate_: Column, doc_id: Column) -> Column:
 
 
 def counted_tokens(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(docs).alias("source"), tk.count(F.col("text")).alias("tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(docs).alias("source"), tk.counted_once(F.col("text")).alias("tokens"))
 
 
 def _solved(counts: DataFrame, store: Store, target: dict[str, float] | None) -> Mix:
@@ -150,7 +150,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     store = Store(spark, "mixing-stage")
     mix = _solved(counted_tokens(docs), store, None)
     times = copies(F.round(rate(mix, _source(docs), F.col("__tokens")), 6), F.col("doc_id"))
-    df = docs.withColumn("__tokens", tk.count(F.col("text"))).withColumn("__copies", times).filter("__copies > 0")
+    df = docs.withColumn("__tokens", tk.counted_once(F.col("text"))).withColumn("__copies", times).filter("__copies > 0")
     return df.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
