@@ -1,13 +1,15 @@
 """Mixing sources to target weights by entropy balancing (operator 7).
 
-Tokens of document i have the base share q_i.  Of all shares p with the target
-share of every source, and with the corpus's own mean of ln(tokens) (so that
-moving weight between sources doesn't trade short documents for long ones), the
-one nearest to q in relative entropy is p_i = q_i exp(l_source + v z_i).  Its dual
+Tokens of document i have the base share q_i.  Wanted are shares p with exactly the
+target share of every source and, as nearly as that allows, the corpus's own mean of
+ln(tokens) (so that moving weight between sources doesn't trade short documents for
+long ones), nearest to q in relative entropy: p_i = q_i exp(l_source + v z_i), where
+z is ln(tokens) in standard units.  The dual
 
-    D(l, v) = sum q_i exp(l_source + v z_i) - sum target_s l_s
+    D(l, v) = sum q_i exp(l_source + v z_i) - sum target_s l_s + RIDGE / 2 v**2
 
-is convex; Newton's method minimises it.  Every iteration is one distributed
+is strictly convex and has a minimum for any targets, since the penalty leaves the
+second moment off by RIDGE * v where it can't be met; Newton's method finds it.  Every iteration is one distributed
 aggregation by source over the table of (source, tokens, documents); the driver
 sees three sums of each source.  A document's rate is epochs * exp(l + v z), and
 its copies are the rate rounded up or down by a hash of its doc_id, right on
@@ -28,6 +30,8 @@ from .store import Store
 #: Targets are the source shares to this power, where none are given.
 TEMPERATURE = 0.5
 EPOCHS = 1.0
+#: How softly the mean of ln(tokens) is held; without it, sources of other lengths could have no solution.
+RIDGE = 0.25
 MOST_ROUNDS = 40
 TOLERANCE = 1e-9
 
@@ -86,28 +90,30 @@ def solve(counted: DataFrame, target: dict[str, float] | None = None) -> Mix:
         return {r.source: (r.p, r.pz, r.pzz) for r in rows if r.source in goal}
 
     def dual(m: Mix, s: dict) -> float:
-        return sum(p for p, _, _ in s.values()) - sum(goal[k] * m.tilt[k] for k in goal)
+        return sum(p for p, _, _ in s.values()) - sum(goal[k] * m.tilt[k] for k in goal) + RIDGE / 2 * m.slope**2
+
+    def error(m: Mix, s: dict) -> float:
+        return max(abs(sum(v[1] for v in s.values()) + RIDGE * m.slope), *(abs(s[k][0] - goal[k]) for k in goal))
 
     now = sums(mix)
     for k in range(1, MOST_ROUNDS + 1):
-        gradient = {s: now[s][0] - goal[s] for s in goal}
-        slope_gradient = sum(v[1] for v in now.values())
-        mix.error = max(abs(slope_gradient), *map(abs, gradient.values()))
-        if mix.error < TOLERANCE:
+        if error(mix, now) < TOLERANCE:
             break
+        gradient = {s: now[s][0] - goal[s] for s in goal}
+        slope_gradient = sum(v[1] for v in now.values()) + RIDGE * mix.slope
         # the Hessian is an arrow: a diagonal over the sources, and one row for the slope
-        schur = sum(v[2] - v[1] ** 2 / v[0] for v in now.values())
-        step_slope = -(slope_gradient - sum(now[s][1] * gradient[s] / now[s][0] for s in goal)) / schur if schur > 1e-12 else 0.0
+        schur = RIDGE + sum(v[2] - v[1] ** 2 / v[0] for v in now.values())
+        step_slope = -(slope_gradient - sum(now[s][1] * gradient[s] / now[s][0] for s in goal)) / schur
         step = {s: -(gradient[s] + now[s][1] * step_slope) / now[s][0] for s in goal}
         size, before = 1.0, dual(mix, now)
         while True:
             trial = Mix({s: mix.tilt[s] + size * step[s] for s in goal}, mix.slope + size * step_slope, mean, mix.spread, goal, k, 0.0)
             after = sums(trial)
-            if dual(trial, after) <= before + 1e-12 or size < 1e-4:
+            if dual(trial, after) <= before + 1e-12:
                 break
             size /= 2
         mix, now = trial, after
-    mix.error = max(abs(sum(v[1] for v in now.values())), *(abs(now[s][0] - goal[s]) for s in goal))
+    mix.error = error(mix, now)
     return mix
 
 
