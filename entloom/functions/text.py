@@ -10,6 +10,9 @@ _SPACE = r"\s\x{1c}-\x{1f}"
 TOKEN = rf"[{_W}](?:[{_W}'\-’]*[{_W}])?|[^{_SPACE}]"
 #: Tokens and the blanks between them: every character of a text is in exactly one match.
 TILES = rf"(?U){TOKEN}|[{_SPACE}]+"
+#: What of a token stands before a place, and after it: from its first letter or digit, up to its last.
+WORD_BEFORE = rf"([{_W}][{_W}'\-’]*)\z"
+WORD_AFTER = rf"^([{_W}'\-’]*[{_W}])"
 _EDGES = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
 
 

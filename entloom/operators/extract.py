@@ -21,12 +21,13 @@ class Rule:
     label: str
     pattern: str
     score: float = 1.0
+    needs: str = ""  # what every text with a match contains; a plain search for it saves the expression
 
 
 RULES = (
-    Rule("Email", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[A-Za-z]+", 0.99),
+    Rule("Email", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[A-Za-z]+", 0.99, "@"),
     Rule("IPv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", 0.95),
-    Rule("License", r"(?:Apache License|General Public License|MIT License)", 0.9),
+    Rule("License", r"(?:Apache License|General Public License|MIT License)", 0.9, "License"),
     Rule("Phone", r"\+?[0-9][0-9 ()-]{7,}[0-9]", 0.75),
     Rule("ProperName", r"[A-Z][a-z]+ [A-Z][a-z]+", 0.6),
     Rule("ProperName", r"[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+", 0.45),
@@ -38,7 +39,9 @@ def extract_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     doc_id, body = F.col("doc_id").cast("string"), F.col("text")
 
     def of(rule: Rule) -> Column:
-        return F.transform(text.spans(body, rule.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score")))
+        found = F.transform(text.spans(body, rule.pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score")))
+        some = F.rlike(body, F.lit(rule.pattern))
+        return F.when(body.contains(rule.needs) & some if rule.needs else some, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,label:string,score:double>>"))
 
     found = [of(rule) for rule in rules]
     rows = docs.select(doc_id.alias("doc_id"), F.explode(F.concat(*found)).alias("m"))
@@ -46,20 +49,18 @@ def extract_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def extract_gazetteer(docs: DataFrame, names: DataFrame, score: float = 1.0) -> DataFrame:
-    """Mentions of the names of a table (label, name), found by one pattern over the document's tokens.
+    """Mentions of the names of a table (label, name) that begin and end with a token.
 
-    Names of up to `k` words are looked up by joining the document's word k-grams
-    to the table, so the table may be large.
+    Tokens are joined to the names' first tokens, and only the places that this
+    leaves are compared with their document, so both tables may be large.
     """
-    words = text.TOKEN
-    listed = names.select("label", "name", F.regexp_count("name", F.lit("(?U)" + words)).alias("n"))
-    most = listed.agg(F.max("n")).first()[0] or 1
-    tokens = token_offsets(docs).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")))
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(0, most - 1)
-    grams = tokens.withColumn("ends", F.collect_list("end").over(w)).select("doc_id", "start", F.posexplode("ends").alias("i", "end"))
+    listed = names.select("label", "name", F.regexp_extract("name", "(?U)^(?:" + text.TOKEN + ")", 0).alias("token")).filter("token <> ''")
+    tokens = token_offsets(docs)
+    places = tokens.join(listed, "token").select("doc_id", "start", "label", "name", (F.col("start") + F.length("name")).alias("end"))
+    places = places.join(tokens.select("doc_id", "end"), ["doc_id", "end"], "left_semi")
     body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body"))
-    spans = grams.join(body, "doc_id").select("doc_id", "start", "end", F.expr("substring(body, start + 1, end - start)").alias("text"))
-    return spans.join(listed, spans["text"] == listed["name"]).select("doc_id", "start", "end", "text", "label", F.lit(score).alias("score"), F.lit("regex").alias("source"))
+    found = places.join(body, "doc_id").filter("substring(body, start + 1, length(name)) = name")
+    return found.select("doc_id", "start", "end", F.col("name").alias("text"), "label", F.lit(score).alias("score"), F.lit("regex").alias("source"))
 
 
 def extract_with(docs: DataFrame, schema: EntitySchema, backend: Extractor, source: str = "gliner") -> DataFrame:
@@ -100,23 +101,27 @@ def token_offsets(docs: DataFrame) -> DataFrame:
     return placed.filter(~blank).select("doc_id", (F.col("end") - F.length("token")).alias("start"), "end", "token")
 
 
-def snap(spans: DataFrame, docs: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def snap(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Spans widened to the tokens that their ends cut, then trimmed of white space.
 
-    Spans out of the text's bounds, or empty, stay as they are.  `spans` has
-    (doc_id, start, end) and any more columns; `text` is set to what is covered.
+    A place is inside a token if what a word is made of goes on to both of its
+    sides, so only the places themselves are looked at and no text is taken apart
+    into tokens.  Spans out of the text's bounds, or empty, stay as they are.
+    `spans` has (doc_id, start, end) and any more columns; `text` is set to what is
+    covered.
     """
     body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__body"))
-    tokens = token_offsets(docs) if tokens is None else tokens
-    # only tokens of two characters or more can be cut; a cut place is in at most one of them
-    inner = tokens.filter("end - start > 1").select("doc_id", F.explode(F.sequence(F.col("start") + 1, F.col("end") - 1)).alias("__at"), F.col("start").alias("__lo"), F.col("end").alias("__hi"))
-    wanted = spans.select("doc_id", F.explode(F.array("start", "end")).alias("__at")).distinct()
-    cut = inner.join(wanted, ["doc_id", "__at"], "left_semi")
-    left = cut.select("doc_id", F.col("__at").alias("start"), "__lo")
-    right = cut.select("doc_id", F.col("__at").alias("end"), "__hi")
-    df = spans.drop("text").join(left, ["doc_id", "start"], "left").join(right, ["doc_id", "end"], "left").join(body, "doc_id")
+    df = spans.drop("text").join(body, "doc_id")
     valid = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("__body"))
-    df = df.withColumn("__s", F.when(valid, F.coalesce("__lo", "start")).otherwise(F.col("start"))).withColumn("__e", F.when(valid, F.coalesce("__hi", "end")).otherwise(F.col("end")))
+
+    def sides(at: str) -> tuple[Column, Column]:
+        """Characters of the token before and after a place; 0 if it isn't inside one."""
+        before = F.length(F.regexp_extract(F.substring(F.col("__body"), F.lit(1), F.col(at)), text.WORD_BEFORE, 1))
+        after = F.length(F.regexp_extract(F.substring(F.col("__body"), F.col(at) + 1, F.length("__body")), text.WORD_AFTER, 1))
+        inside = (before > 0) & (after > 0)
+        return F.when(inside, before).otherwise(0), F.when(inside, after).otherwise(0)
+
+    df = df.withColumn("__s", F.when(valid, F.col("start") - sides("start")[0]).otherwise(F.col("start"))).withColumn("__e", F.when(valid, F.col("end") + sides("end")[1]).otherwise(F.col("end")))
     piece = F.expr("substring(__body, __s + 1, __e - __s)")
     blanks = r"(?U)^[\s\x{1c}-\x{1f}]*"
     lead = F.length(F.regexp_extract(piece, blanks, 0))

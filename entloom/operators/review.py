@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..model import MENTION, REVIEW_FORMAT, REVIEW_OPS
 from ..schema import EntitySchema
+from ..store import Store
 
 _MENTION_SQL = MENTION.simpleString()
 
@@ -91,6 +92,7 @@ def lint(lines: DataFrame, headers: DataFrame | None = None, docs: DataFrame | N
     Line 1 is the header, line 0 the file.
     """
     at = ["doc_id", "line"]
+    lines = Store(lines.sparkSession, "lint").keep(lines, "lines")  # many checks read them
     found = [lines.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "id"))).filter("n > 1").select(*at, F.concat(F.lit("id repeats: "), "id").alias("message"))]
     found.append(lines.filter(~F.col("op").isin(*REVIEW_OPS)).select(*at, F.concat(F.lit("unknown op: "), "op").alias("message")))
     found.append(lines.filter((F.col("op") == "add") & ~F.col("id").startswith("human_")).select(*at, F.concat(F.lit("an added id must begin with human_: "), "id").alias("message")))

@@ -15,6 +15,7 @@ from ..operators import coref, embed, evaluate, extract, incremental, review
 from ..operators.components import components
 from ..operators.similarity import similar_pairs
 from ..schema import EntitySchema, EntityType
+from ..sources.documents import spread
 from . import pipeline
 
 MERGE, BORDERLINE, TIEBREAK = 0.40, 0.35, 0.36
@@ -23,7 +24,7 @@ SCHEMA = EntitySchema(tuple(EntityType(n, d) for n, d in (("Email", "An e-mail a
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:

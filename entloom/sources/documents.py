@@ -43,3 +43,12 @@ def read_table(spark: SparkSession, where: str, doc_id: str = "doc_id", text: st
     """(doc_id, text, source) of a Parquet table."""
     df = spark.read.parquet(where)
     return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string")).alias("source"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out evenly where a small table has fewer splits than there are cores.
+
+    A table of as many splits as cores or more isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

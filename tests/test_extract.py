@@ -51,6 +51,29 @@ def test_snap(spark, body, start, end, want):
         assert r.text == body[want[0] : want[1]]
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.text(alphabet="ab'-’é 1_.\n", min_size=1, max_size=14), st.integers(0, 14), st.integers(1, 14)), min_size=30, max_size=30))
+def test_snap_property(spark, cases):
+    docs = spark.createDataFrame([(str(k), t) for k, (t, *_) in enumerate(cases)], "doc_id string, text string")
+    spans = spark.createDataFrame([(str(k), s, s + n, "T") for k, (_, s, n) in enumerate(cases)], "doc_id string, start int, end int, type string")
+    got = {int(r.doc_id): (r.start, r.end) for r in extract.snap(spans, docs).collect()}
+    for k, (body, start, n) in enumerate(cases):
+        end = start + n
+        want = (start, end)
+        if end <= len(body):
+            for a, b, _ in reference_tokens(body):
+                start, end = (a if a < start < b else start), (b if a < end < b else end)
+            while start < end and body[start].isspace():
+                start += 1
+            while end > start and body[end - 1].isspace():
+                end -= 1
+            want = (start, end)
+            if start == end:  # nothing but blanks: where in them an empty span lies is no matter
+                assert got[k][0] == got[k][1]
+                continue
+        assert got[k] == want, (body, cases[k], got[k], want)
+
+
 def nms(spark, *spans):
     rows = [("d", f"m{k}", s, e, "x" * (e - s), t, p, "gliner") for k, (s, e, t, p) in enumerate(spans)]
     found = extract.select_spans(spark.createDataFrame(rows, MENTION)).collect()
