@@ -41,6 +41,18 @@ class Workdir:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(self.path(name))
 
+    def views(self, prefix: str = "") -> list[str]:
+        """Registers the folder's tables, and the mentions of its entities, as views for spark.sql; their names."""
+        found = []
+        for name in ("documents", "entities", "registry", "centroids", "flagged", "vectors"):
+            if (self.root / name).exists():
+                self.load(name).createOrReplaceTempView(prefix + name)
+                found.append(prefix + name)
+        if prefix + "entities" in found:
+            self.load("entities").select("doc_id", "entity_id", "cluster_id", F.explode("mentions").alias("m")).select("doc_id", "entity_id", "cluster_id", "m.*").createOrReplaceTempView(prefix + "mentions")
+            found.append(prefix + "mentions")
+        return found
+
     def save_schema(self, schema: EntitySchema) -> None:
         self.root.mkdir(parents=True, exist_ok=True)
         save_schema(schema, self.root / "schema.yaml")

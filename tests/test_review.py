@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entloom import EntitySchema, EntityType
-from entloom.model import ENTITY, REVIEW_LINE
+from entloom.model import ENTITY, REVIEW_LINE, review_json_schema
 from entloom.operators import review
 from entloom.sources.workdir import load_gold, read_review, save_gold, write_review
 
@@ -112,6 +112,11 @@ def test_reading_is_strict(spark, tmp_path):
     assert [(r.doc_id, r.line, r.op) for r in ls.collect()] == [("d", 2, "keep")] and set(REVIEW_LINE.fieldNames()) <= set(ls.columns)
 
 
+def test_json_schema_names_the_fields_of_a_line():
+    header, line = review_json_schema()["oneOf"]
+    assert set(line["properties"]) == set(REVIEW_LINE.fieldNames()) and set(header["required"]) == set(header["properties"])
+
+
 def test_gold(spark, tmp_path):
     rows = [("d1", "e1", "g"), ("d1", "e2", "g"), ("d2", "e1", "h")]
     save_gold(spark.createDataFrame(rows, "doc_id string, entity_id string, gold_cluster_id string"), str(tmp_path / "gold"))

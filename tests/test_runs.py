@@ -32,6 +32,8 @@ def test_run_layout_and_incremental(spark, tmp_path):
     assert first.manifest["n_documents"] == 3 and first.manifest["n_entities"] == 3 and len(first.manifest["schema_fingerprint"]) == 16
     assert {p.name for p in (tmp_path / "a").iterdir()} >= {"schema.yaml", "manifest.json", "documents", "entities", "registry", "centroids", "review", "flagged"}
     assert first.registry.count() == 2 and Workdir(spark, tmp_path / "a").schema() == SCHEMA
+    assert "mentions" in first.workdir.views()
+    assert spark.sql("SELECT count(DISTINCT cluster_id) FROM entities JOIN mentions USING (doc_id, entity_id, cluster_id) WHERE text = 'Alice'").first()[0] == 1
     second = run(spark, tmp_path / "b", docs(spark, d4="Alice and Cara"), incremental_from=tmp_path / "a")
     assert second.registry.count() == 3
     sizes = {r.cluster_id: len(r.members) for r in second.registry.collect()}
