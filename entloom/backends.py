@@ -202,42 +202,18 @@ def checked_merges(merges: Sequence[Merge], entity_ids: Sequence[str], clusters:
     return list(merges)
 
 
-GROUP_TOOL = {
-    "name": "report_entities",
-    "description": "Report every entity of the document with the ids of all its mentions.",
-    "input_schema": {
-        "type": "object",
-        "required": ["clusters"],
-        "properties": {
-            "clusters": {
-                "type": "array",
-                "items": {
-                    "type": "object",
-                    "required": ["mention_ids", "canonical", "type", "confidence"],
-                    "properties": {"mention_ids": {"type": "array", "items": {"type": "string"}, "minItems": 1}, "canonical": {"type": "string"}, "type": {"type": "string"}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "rationale": {"type": "string"}},
-                },
-            }
-        },
-    },
-}
-MERGE_TOOL = {
-    "name": "report_merges",
-    "description": "For every candidate say which cluster it joins, or null if none.",
-    "input_schema": {
-        "type": "object",
-        "required": ["decisions"],
-        "properties": {
-            "decisions": {
-                "type": "array",
-                "items": {
-                    "type": "object",
-                    "required": ["entity_id", "target_cluster_id", "confidence"],
-                    "properties": {"entity_id": {"type": "string"}, "target_cluster_id": {"type": ["string", "null"]}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}, "rationale": {"type": "string"}},
-                },
-            }
-        },
-    },
-}
+_TEXT, _SHARE = dict(type="string"), dict(type="number", minimum=0, maximum=1)
+
+
+def _tool(name: str, told: str, rows: str, optional: tuple[str, ...], **fields: dict) -> dict[str, Any]:
+    """A tool whose argument `rows` is a list of objects of these fields."""
+    row = dict(type="object", properties=fields, required=[f for f in fields if f not in optional])
+    listed = {rows: dict(type="array", items=row)}
+    return dict(name=name, description=told, input_schema=dict(type="object", properties=listed, required=[rows]))
+
+
+GROUP_TOOL = _tool("report_entities", "Report every entity of the document with the ids of all its mentions.", "clusters", ("rationale",), mention_ids=dict(type="array", items=_TEXT, minItems=1), canonical=_TEXT, type=_TEXT, confidence=_SHARE, rationale=_TEXT)
+MERGE_TOOL = _tool("report_merges", "For every candidate say which cluster it joins, or null if none.", "decisions", ("rationale",), entity_id=_TEXT, target_cluster_id=dict(type=["string", "null"]), confidence=_SHARE, rationale=_TEXT)
 GROUP_PROMPT = "You sort the marked mentions of one document into entities. Each mention belongs to exactly one entity. Name an entity by its fullest form. Answer only through the tool."
 MERGE_PROMPT = "You decide whether an entity is the same thing in the world as the cluster nearest to it. Prefer null if the contexts don't settle it. Answer only through the tool."
 
@@ -252,9 +228,10 @@ def group_payload(text: str, mentions: Sequence[dict[str, Any]]) -> str:
     return f"<document>\n{text}\n</document>\n<mentions>\n{json.dumps(rows, ensure_ascii=False)}\n</mentions>"
 
 
-def as_function(tool: dict[str, Any]) -> dict[str, Any]:
+def as_function(tool: dict[str, Any]) -> dict:
     """A tool in the form that chat-completion servers take."""
-    return {"type": "function", "function": {"name": tool["name"], "description": tool["description"], "parameters": tool["input_schema"]}}
+    inner = {k: v for k, v in tool.items() if k != "input_schema"} | dict(parameters=tool["input_schema"])
+    return dict(type="function", function=inner)
 
 
 @dataclass

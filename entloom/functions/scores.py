@@ -20,7 +20,7 @@ def crossdoc_confidence(base: Column, decision: Column, top: Column, second: Col
     return clamp(0.4 * base + 0.4 * decision + 0.2 * clamp(F.greatest(F.lit(0.0), top - second)))
 
 
-def review_reason(confidence: Column, cluster_id: Column, least_score: Column, cluster_threshold: float = 0.7, span_threshold: float = 0.5) -> Column:
+def review_reason(confidence: Column, cluster_id: Column, least_score: Column, sure_from: float = 0.7, span_from: float = 0.5) -> Column:
     """Why an entity needs a reviewer; null if it doesn't."""
     unsure = F.when(cluster_id.isNotNull(), "ambiguous_merge").otherwise("low_cluster_conf")
-    return F.when(confidence < cluster_threshold, unsure).when(least_score < span_threshold, "low_span_conf")
+    return F.when(confidence < sure_from, unsure).when(least_score < span_from, "low_span_conf")

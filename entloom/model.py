@@ -45,16 +45,20 @@ GOLD = _struct("doc_id string, entity_id string, gold_cluster_id string")
 LINT = _struct("file string, line int, message string")
 
 
+_REVIEW_HEADER = _struct("$schema string, doc_id string, text_sha string, schema_version string")
+_ENUMS = {"op": REVIEW_OPS, "reason": REVIEW_REASONS, "source": MENTION_SOURCES, "$schema": (REVIEW_FORMAT,)}
+_NEEDED = {"id", "type", "canonical", "mentions", "start", "end", "text", *_REVIEW_HEADER.fieldNames()}
+
+
+def _json_schema(kind: T.DataType, optional: frozenset[str] = frozenset()) -> dict:
+    if isinstance(kind, T.StructType):
+        fields = {f.name: {"enum": list(_ENUMS[f.name])} if f.name in _ENUMS else _json_schema(f.dataType, frozenset({"id"})) for f in kind}
+        return dict(type="object", additionalProperties=False, properties=fields, required=[n for n in fields if n in _NEEDED - optional])
+    if isinstance(kind, T.ArrayType):
+        return dict(type="array", items=_json_schema(kind.elementType, optional))
+    return dict(type={"string": "string", "int": "integer", "double": "number"}[kind.simpleString()])
+
+
 def review_json_schema() -> dict:
-    """JSON Schema (draft 2020-12) of a review file's lines, for editors."""
-    text, number, place = {"type": "string", "minLength": 1}, {"type": "number", "minimum": 0, "maximum": 1}, {"type": "integer", "minimum": 0}
-    mention = {"type": "object", "required": ["start", "end", "text"], "additionalProperties": False, "properties": {"id": text, "start": place, "end": place, "text": text, "score": number, "source": {"enum": list(MENTION_SOURCES)}}}
-    header = {"type": "object", "required": ["$schema", "doc_id", "text_sha", "schema_version"], "additionalProperties": False, "properties": {"$schema": {"const": REVIEW_FORMAT}, "doc_id": text, "text_sha": {"type": "string", "pattern": "^[0-9a-f]{16}$"}, "schema_version": text}}
-    line = {
-        "type": "object", "required": ["id", "type", "canonical", "mentions"], "additionalProperties": False,
-        "properties": {
-            "op": {"enum": list(REVIEW_OPS)}, "id": text, "type": text, "canonical": text, "surface_canonical": text, "confidence": number, "mentions": {"type": "array", "minItems": 1, "items": mention},
-            "cluster_id": text, "reason": {"enum": list(REVIEW_REASONS)}, "candidates": {"type": "array", "items": {"type": "string"}},
-        },
-    }
-    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": REVIEW_FORMAT, "oneOf": [header, line]}
+    """JSON Schema of a review file's lines, for editors; it follows the row types above."""
+    return dict(title=REVIEW_FORMAT, oneOf=[_json_schema(_REVIEW_HEADER), _json_schema(REVIEW_LINE)])

@@ -65,7 +65,7 @@ def resolve(rows: DataFrame, tiebreaker: TieBreaker | None = None, docs: DataFra
     otherwise.
     """
     store = Store(rows.sparkSession, "resolve")
-    keep = ["doc_id", "entity_id", "type", "canonical", "surface_canonical", "confidence", "vector"] + [c for c in ("mentions", "ord") if c in rows.columns]
+    keep = [*"doc_id entity_id type canonical surface_canonical confidence vector".split(), *(c for c in ("mentions", "ord") if c in rows.columns)]
     e = store.keep(numbered(rows.select(*keep)), "entities")
     root = store.keep(groups(e, merge), "roots")
     member = e.join(root, "node")

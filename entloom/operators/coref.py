@@ -74,8 +74,8 @@ def entities(groups: DataFrame, mentions: DataFrame) -> DataFrame:
     )
 
 
-def route(rows: DataFrame, cluster_threshold: float = 0.7, span_threshold: float = 0.5) -> DataFrame:
+def route(rows: DataFrame, sure_from: float = 0.7, span_from: float = 0.5) -> DataFrame:
     """(doc_id, entity_id, reason) of the entities that need a reviewer."""
     least = F.array_min(F.transform("mentions", lambda m: m["score"]))
-    reason = scores.review_reason(F.col("confidence"), F.col("cluster_id"), least, cluster_threshold, span_threshold)
+    reason = scores.review_reason(F.col("confidence"), F.col("cluster_id"), least, sure_from, span_from)
     return rows.select("doc_id", "entity_id", reason.alias("reason")).filter("reason is not null")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..backends import Extractor
 from ..functions import ids, text
-from ..schema import EntitySchema
+from ..schema import EntitySchema, EntityType
 
 
 @dataclass(frozen=True)
@@ -75,16 +75,20 @@ def extract_with(docs: DataFrame, schema: EntitySchema, backend: Extractor, sour
     return body.mapInPandas(run, "doc_id string, start int, end int, label string, score double").withColumn("source", F.lit(source))
 
 
+def _label(template: str, kind: EntityType) -> str:
+    return template.format(**vars(kind))
+
+
 def label_types(raw: DataFrame, schema: EntitySchema, template: str = "{name}") -> DataFrame:
     """`type` for each label; predictions of labels that no type makes are dropped (see :func:`unknown_labels`)."""
-    rows = [(template.format(name=t.name, description=t.description), t.name) for t in schema.types]
+    rows = [(_label(template, t), t.name) for t in schema.types]
     types = raw.sparkSession.createDataFrame(rows, "label string, type string")
     return raw.join(F.broadcast(types), "label").drop("label")
 
 
 def unknown_labels(raw: DataFrame, schema: EntitySchema, template: str = "{name}") -> DataFrame:
     """Labels, with their number of predictions, that no type of the schema makes."""
-    known = [template.format(name=t.name, description=t.description) for t in schema.types]
+    known = [_label(template, t) for t in schema.types]
     return raw.filter(~F.col("label").isin(known)).groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..backends import TieBreaker, checked_merges
+from ..functions.vectors import FLOOR
 from ..store import Store
 from .centroids import update_centroids
 from .cluster import BORDERLINE, MERGE, apply_assignments, numbered
@@ -42,7 +43,7 @@ def new_cluster_id(kind: str, canonical: str, doc_id: str, taken: set[str]) -> s
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / max(float(np.linalg.norm(v)), 1e-9)
+    return v / max(float(np.sqrt(v @ v)), FLOOR)
 
 
 def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | None, merge: float, borderline: float) -> list[dict]:

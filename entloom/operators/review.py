@@ -10,6 +10,7 @@ from ..model import MENTION, REVIEW_FORMAT, REVIEW_OPS
 from ..schema import EntitySchema
 from ..store import Store
 
+_FIELDS = "type canonical surface_canonical confidence".split()
 _MENTION_SQL = MENTION.simpleString()
 
 
@@ -31,7 +32,7 @@ def review_lines(rows: DataFrame, flags: DataFrame | None = None, only_flagged:
     first = F.get("mentions", F.lit(0))["start"]
     line = F.row_number().over(Window.partitionBy("doc_id").orderBy(first, "entity_id")) + 1
     flat = F.transform("mentions", lambda m: F.struct(m["id"].alias("id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), m["score"].alias("score"), m["source"].alias("source")))
-    return rows.select("doc_id", line.alias("line"), F.lit("keep").alias("op"), F.col("entity_id").alias("id"), "type", "canonical", "surface_canonical", "confidence", flat.alias("mentions"), "cluster_id", "reason", F.array().cast("array<string>").alias("candidates"))
+    return rows.select("doc_id", line.alias("line"), F.lit("keep").alias("op"), F.col("entity_id").alias("id"), *_FIELDS, flat.alias("mentions"), "cluster_id", "reason", F.array().cast("array<string>").alias("candidates"))
 
 
 def to_jsonl(lines: DataFrame, headers: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def _as_entity(lines: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(m["id"], own).alias("id"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), kind.alias("type"), F.coalesce(m["score"], F.lit(1.0)).alias("score"), source.alias("source"), F.lit(None).cast("string").alias("metadata"))
 
     placed = F.array_sort(F.transform("mentions", lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"), mention(m).alias("m"))))
-    return lines.select("doc_id", "op", "line", F.col("id").alias("entity_id"), "type", "canonical", "surface_canonical", "confidence", "cluster_id", F.transform(placed, lambda x: x["m"]).cast(f"array<{_MENTION_SQL}>").alias("mentions"))
+    return lines.select("doc_id", "op", "line", F.col("id").alias("entity_id"), *_FIELDS, "cluster_id", F.transform(placed, lambda x: x["m"]).cast(f"array<{_MENTION_SQL}>").alias("mentions"))
 
 
 def apply_review(rows: DataFrame, lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def apply_review(rows: DataFrame, lines: DataFrame, docs: DataFrame | None = Non
     """
     last = lines.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "id").orderBy(F.desc("line")))).filter("k = 1")
     edits = _as_entity(last)
-    mine = edits.select("doc_id", "entity_id", "op", *[F.col(c).alias(f"new_{c}") for c in ("type", "canonical", "surface_canonical", "confidence", "cluster_id", "mentions")])
+    mine = edits.select("doc_id", "entity_id", "op", *[F.col(c).alias(f"new_{c}") for c in (*_FIELDS, "cluster_id", "mentions")])
     old = rows.withColumn("__old", F.lit(True))
     both = old.join(mine, ["doc_id", "entity_id"], "full")
     place = F.concat_ws("/", "doc_id", "entity_id")
@@ -77,7 +78,7 @@ def apply_review(rows: DataFrame, lines: DataFrame, docs: DataFrame | None = Non
     both = both.filter(F.when(told.isNotNull(), F.raise_error(told).cast("boolean")).otherwise(True))
     kept = both.filter(F.col("op").isNull() | (F.col("op") != "reject"))
     taken = F.col("op").isNotNull()
-    out = kept.select("doc_id", "entity_id", *[F.when(taken, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("type", "canonical", "surface_canonical", "confidence", "cluster_id", "mentions")])
+    out = kept.select("doc_id", "entity_id", *[F.when(taken, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in (*_FIELDS, "cluster_id", "mentions")])
     if docs is not None:
         body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__body"))
         wrong = F.exists("mentions", lambda m: F.substring(F.col("__body"), m["start"] + 1, m["end"] - m["start"]) != m["text"])

@@ -38,16 +38,19 @@ class EntitySchema:
     def type_names(self) -> list[str]:
         return [t.name for t in self.types]
 
-    def type_by_name(self, name: str) -> EntityType | None:
-        return next((t for t in self.types if t.name == name), None)
+    def type_by_name(self, wanted: str) -> EntityType | None:
+        return {t.name: t for t in self.types}.get(wanted)
 
     def fingerprint(self) -> str:
         """16 hex digits that change with any field, and with the order of types or examples."""
-        body = {"version": self.version, "types": [{"name": t.name, "description": t.description, "examples": list(t.examples)} for t in self.types]}
-        return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+        compact = json.JSONEncoder(separators=(",", ":"), sort_keys=True).encode(self.to_dict())
+        return hashlib.sha256(compact.encode()).hexdigest()[:16]
 
     def to_dict(self) -> dict:
-        return {"version": self.version, "types": [{**asdict(t), "examples": list(t.examples)} for t in self.types]}
+        types = [asdict(t) for t in self.types]
+        for t in types:
+            t["examples"] = list(t["examples"])
+        return dict(version=self.version, types=types)
 
     @classmethod
     def from_dict(cls, data: object) -> EntitySchema:
@@ -64,7 +67,7 @@ class EntitySchema:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """A row for each type: (name, description, examples, ord)."""
-        rows = [(t.name, t.description, list(t.examples), k) for k, t in enumerate(self.types)]
+        rows = [(t.name, t.description, [*t.examples], k) for k, t in enumerate(self.types)]
         return spark.createDataFrame(rows, "name string, description string, examples array<string>, ord int")
 
 
@@ -77,7 +80,10 @@ DEFAULT_SCHEMA = EntitySchema(
 )
 
 
-def load_schema(path: str | Path) -> EntitySchema:
+Place = str | Path
+
+
+def load_schema(path: Place) -> EntitySchema:
     """Reads .yaml, .yml or .json."""
     path = Path(path)
     if not path.exists():
@@ -92,7 +98,7 @@ def load_schema(path: str | Path) -> EntitySchema:
     raise ValueError(f"a schema is .yaml, .yml or .json, not {path.suffix!r}")
 
 
-def save_schema(schema: EntitySchema, path: str | Path) -> None:
+def save_schema(schema: EntitySchema, path: Place) -> None:
     path = Path(path)
     if path.suffix in (".yaml", ".yml"):
         import yaml

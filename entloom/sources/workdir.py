@@ -61,7 +61,7 @@ class Workdir:
         return load_schema(self.root / "schema.yaml")
 
     def write_manifest(self, schema: EntitySchema, counts: dict[str, int]) -> dict:
-        body = {"created_at": datetime.now(UTC).isoformat(), "schema_fingerprint": schema.fingerprint(), "schema_version": schema.version, **counts}
+        body = dict(created_at=str(datetime.now(UTC).isoformat()), schema_fingerprint=schema.fingerprint(), schema_version=schema.version, **counts)
         (self.root / "manifest.json").write_text(json.dumps(body, indent=2), encoding="utf-8")
         return body
 

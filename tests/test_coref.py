@@ -62,7 +62,8 @@ def test_merges_must_answer_all():
 
 
 def test_tool_client_retries_and_counts():
-    answers = [RuntimeError("busy"), ('{"clusters": []}', {}), ({"clusters": [{"mention_ids": ["m1"], "canonical": "X", "type": "Person", "confidence": 0.8}]}, {"input_tokens": 40, "cache_read_tokens": 60})]
+    one = dict(type="Person", confidence=0.8, canonical="X", mention_ids=["m1"])
+    answers = [RuntimeError("busy"), ('{"clusters": []}', {}), (dict(clusters=[one]), {"input_tokens": 40, "cache_read_tokens": 60})]
 
     def send(system, block, prompt, tool):
         a = answers.pop(0)

@@ -21,7 +21,7 @@ def tokens(spark, *texts):
 
 
 def reference_tokens(s):
-    return [(m.start(), m.end(), m.group()) for m in re.finditer(r"[\w](?:[\w'\-’]*[\w])?|\S", s)]
+    return [(m.start(), m.end(), m.group()) for m in re.finditer(r"\w(?:['’\-\w]*\w)?|\S", s)]
 
 
 def test_tokens(spark):
