@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import bytesx as bx
-from .components import components
 from .store import Store, small_batches
 
 NGRAM = 3
@@ -223,8 +223,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         wanted = F.broadcast(wanted)
     texts = store.keep(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     near = store.keep(_verified(star, texts, idf_b, threshold), "near")
-    root = components(near.select("a", "b"), store, "part")
-    root = store.keep(root, "root")
+    root = store.keep(components(near).withColumnRenamed("node", "id"), "root")
 
     # Within a bucket, what the lead didn't join may still belong together: every pair across two parts is verified.
     placed = member.select("key", "doc_id", "wsum").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "wsum", F.coalesce("root", "doc_id").alias("part"))
@@ -236,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = store.keep(_verified(cross, texts, idf_b, threshold), "rest")
 
     edges = exact.union(near.select("a", "b")).union(rest.select("a", "b"))
-    root = store.keep(components(edges, store, "whole"), "groups")
+    root = store.keep(components(edges).withColumnRenamed("node", "id"), "groups")
     sizes = root.groupBy("root").agg(F.count("*").alias("group_size"))
     for name in ("sketch", "member", "texts", "split"):
         store.drop(name)

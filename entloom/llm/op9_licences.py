@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licences import KNOWN
+from .licences import DIGESTS, KNOWN
 
 _SIGNS = r"[^\p{L}\p{M}\p{N}]+"
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -57,7 +57,7 @@ def canonical(text: Column) -> Column:
 @functools.cache
 def digests() -> dict[str, str]:
     """Licence of each known digest."""
-    return {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}
+    return DIGESTS | {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -3,12 +3,9 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
-import pytest
 
 from entloom.llm import bytesx as bx
 from entloom.llm import op6_neardup as op
-from entloom.llm.components import components
-from entloom.llm.store import Store
 
 from .helpers import DOC, awkward, clashing, empty, prose
 
@@ -120,22 +117,3 @@ def test_one_of_many_exact_copies_stays(spark):
     rows = [(k, prose(1)) for k in range(500, 0, -1)] + [(1000, prose(2))]
     out = op.stage(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 1000]
-
-
-@pytest.mark.parametrize("edges", [[], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 51)], [(3, 3), (5, 4), (4, 5)]])
-def test_components(spark, edges):
-    df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.id: r.root for r in components(df, Store(spark, "t"), "c").collect()}
-    root = {}
-
-    def find(x):
-        root.setdefault(x, x)
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        if a != b:
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-    assert got == {x: find(x) for x in root}
