@@ -1,11 +1,14 @@
 """URL filter: gradient-boosted trees on lexical features (operator 4).
 
-URLs are labelled by a seed list of blocked hosts; the trees see only lexical
-features and so extend the list to hosts that look alike.
+The trees are trained on a fixed list of labelled URLs (`url_seeds.py`), never on
+the table that is scored: a site of unknown standing there is no example of a good
+one.  They see only lexical features and so extend the list to hosts that look
+alike.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +19,11 @@ from pyspark.sql import functions as F
 from . import bytesx as bx
 from . import gbt
 from .store import small_batches
+from .url_seeds import BLOCKED, labelled_urls
 
 #: At most so many labelled URLs train the trees, chosen by their hash.
 TRAIN_ROWS = 20_000
 BLOCK_FROM = 0.5
-#: Registered names of the seed list; a host is labelled 1 when its last labels are one of these.
-BLOCKED = ("ads-track.example.com", "casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "spam-farm.example.org")
 _SIGNS = "/?&=-._%"
 
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "fragment", "host_length", "host_labels", "host_digits", "host_entropy", "host_vowels", "path_length", *(f"n_{ord(c)}" for c in _SIGNS), *(f"host_n_{ord(c)}" for c in "-."), "suffix_share", "suffix_rate"]
@@ -78,10 +80,17 @@ def train(labelled: DataFrame, most: int = TRAIN_ROWS) -> tuple[gbt.Trees, dict[
     return gbt.fit(x, y), known
 
 
+def listed(url: Column) -> Column:
+    """Whether the host is a listed site or part of one, under any suffix of one or two labels."""
+    names = "|".join(re.escape(name) for name in BLOCKED)
+    return parts(url)["host"].rlike(rf"(^|\.)({names})(\.[^.]+){{1,2}}\.?$")
+
+
 def score(pages: DataFrame, model_b) -> DataFrame:
     """(page_id, url, score, blocked) of every row.
 
     A null or empty URL is blocked with score 1: nothing can be fetched from it.
+    So is a URL of a listed site, whatever the trees say.
     Rows that repeat, and null page_ids, are carried as they are.
     """
 
@@ -93,17 +102,16 @@ def score(pages: DataFrame, model_b) -> DataFrame:
     p = parts(F.col("url"))
     found = F.arrow_udf(run, "double")(*(F.coalesce(p[k], F.lit("")) for k in ("url", "host", "path", "suffix")))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), found.alias("found"))
-    value = F.when(F.coalesce(F.trim("url"), F.lit("")) == "", 1.0).otherwise(F.col("found"))
+    value = F.when((F.coalesce(F.trim("url"), F.lit("")) == "") | listed(F.col("url")), 1.0).otherwise(F.col("found"))
     return rows.select("page_id", "url", value.alias("score")).select("page_id", "url", "score", (F.col("score") >= BLOCK_FROM).alias("blocked"))
 
 
 def seed_labels(pages: DataFrame) -> DataFrame:
-    """(url, label) of the URLs of a table, by the seed list."""
-    host = parts(F.col("url"))["host"]
-    hit = F.lit(False)
-    for name in BLOCKED:
-        hit = hit | (host == name) | host.endswith("." + name)
-    return pages.select("url", hit.cast("int").alias("label"))
+    """(url, label) of the URLs of a table: 1 for a listed site.
+
+    0 is any other host, of unknown standing: those rows are no negatives to train on.
+    """
+    return pages.select("url", F.coalesce(listed(F.col("url")), F.lit(False)).cast("int").alias("label"))
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -115,4 +123,4 @@ def filter_urls(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return filter_urls(pages, seed_labels(pages))
+    return filter_urls(pages, spark.createDataFrame(labelled_urls(), "url string, label int"))

@@ -119,3 +119,15 @@ def test_url_awkward_rows(spark):
     assert urls.filter_urls(p.limit(0), urls.seed_labels(p.limit(0))).count() == 0
     labels = {r.url: r.label for r in urls.seed_labels(pages(spark, [(1, "http://blog.spam-farm.example.org/", ""), (2, "http://notspam-farm.example.org/", "")])).collect()}
     assert list(labels.values()) == [1, 0]
+
+
+def test_listed_sites_are_blocked_under_any_suffix_and_unlisted_rows_do_not_train(spark, tmp_path):
+    other = ["http://spam-farm.example.com/en/1", "https://www.adult-x.example.net/de/20.html", "http://m.ads-track.example.org/", "http://casino-win.example.co.uk/x?a=1"]
+    labels = urls.seed_labels(pages(spark, [(k, u, "") for k, u in enumerate(other)])).collect()
+    assert [r.label for r in labels] == [1] * 4
+    unknown = ["http://www.river.example.com/en/7", "http://cheap-bets.example.com/en/7"] * 30
+    for name, table in (("mixed", other + unknown), ("unlisted", unknown)):
+        pages(spark, [(k, u, "") for k, u in enumerate(table)]).write.parquet(str(tmp_path / name / "pages.parquet"))
+        got = {r.url: r for r in urls.query(spark, str(tmp_path / name)).collect()}
+        assert all(got[u].blocked for u in other if u in got)
+        assert not got[unknown[0]].blocked and got[unknown[1]].blocked
