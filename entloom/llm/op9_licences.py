@@ -73,7 +73,7 @@ def scan(docs: DataFrame) -> DataFrame:
     known = spark.createDataFrame(list(digests().items()), "digest string, license string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     by_digest = F.create_map(*[F.lit(x) for kv in digests().items() for x in kv])
-    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: F.lower(x).contains("licen") & (F.length(x) <= 400))
+    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: F.lower(x).contains("licen"))
     found = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256)))
     notices = F.when(F.col("text").contains("icen") | F.col("text").contains("ICEN"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")).otherwise("")
     rows = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.coalesce(notices, F.lit("")).alias("notices"))
@@ -85,6 +85,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The scan in SQL, but for lines of more than 400 characters, whose notices it leaves out."""
+
     def canon(x: str) -> str:
         t = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"
         t = f"trim(regexp_replace({t}, '{_SIGNS}', ' ', 'g'))"

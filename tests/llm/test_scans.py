@@ -58,6 +58,22 @@ def test_entire_licences_are_found_in_any_dress(spark):
     assert [got[5 + k].license for k in range(len(KNOWN))] == [n for n, _ in KNOWN]
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_long_licence_lines_are_looked_up(spark):
+    flat = " ".join(MIT.split())
+    padded = "//" * 200 + " Licensed under CC BY 4.0. " + " " * 400 + "#" * 300
+    got = scanned(spark, f"Some text.\n{flat}\nmore", f"Some text.\n{padded}\nmore", "Some text.\n" + "licence " * 5000)
+    assert len(flat) > 400 and [got[k].notices for k in range(3)] == ["MIT", "CC-BY-4.0", ""]
+
+
 def test_canonical_forms_agree(spark):
     texts = ["Hello,  World!", "LICENCE\tand sub-licence", "Copyright 2020 X\nkept", "(c) me\n© you\nall rights reserved\nkept.", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.canonical(F.col("t")))
