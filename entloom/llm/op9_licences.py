@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup (operator 9).
 
-A text is brought to a canonical form (lower case, no copyright lines, one spelling
+A text is brought to a canonical form (lower case, no copyright statements, one spelling
 for words that have several, no punctuation, single blanks) and its SHA-256 digest
 joined to the digests of known licences.  Entire texts are compared.  A line that
 speaks of a licence is looked up in the same way, as an entire text of its own, so
@@ -19,7 +19,25 @@ from pyspark.sql import functions as F
 from .licences import DIGESTS, KNOWN
 
 _SIGNS = r"[^\p{L}\p{M}\p{N}]+"
+#: Of the SQL: every line that begins with one of these.
 _COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: What follows "copyright", or "(c)" as an item's number, within a licence; anything else is a holder's name.
+_BODY = r"also|and|are|as|disclaimers?|doctrines?|holders?|if|in|interests?|is|laws?|licen[cs]es?|like|lines?|notices?|of|on|or|owners?|ownership|patent|permissions?|protection|resulting|statements?|the[ \t\r\n]+(?:library|program|software)|those|to|treat(?:y|ies)|that|which"
+_ITEM = "a|all|an|any|each|for|if|in|or|representations|the|to|under|you"
+#: With these a licence goes on after a copyright statement in the same line.
+_OPENING = "everyone is permitted|licen[cs]ed under|permission is (?:hereby )?granted|permission to use|redistribution and use|released under|this (?:file|library|program|software) is (?:distributed|free software|licen[cs]ed|provided|released)"
+_SIGN = r"\(c\)|©|[0-9]{4}|[<\[{]"
+
+
+def _statement(letter: str, lead: str) -> str:
+    """A copyright statement in lower case, for Java and Python: to the line's end or up to a licence's opening; in mid-line only up to one."""
+    end = rf"(?!{letter})"
+    own = rf"copyright[ \t]*(?:{_SIGN})|copyright[ \t:]+(?!(?:{_BODY}){end}){letter}|©|\(c\)[ \t]*(?:copyright{end}|{_SIGN})|\(c\)[ \t]+(?!(?:{_ITEM}){end}){letter}|all rights reserved{end}"
+    return rf"(?<![^\r\n]){lead}(?:{own})[^\r\n]*?(?={_OPENING}|(?![^\r\n]))|(?<!{letter})copyright[ \t]*(?:{_SIGN})[^\r\n]*?(?={_OPENING})"
+
+
+_STATEMENT = _statement(r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\r\n]*")
+_PYTHON_STATEMENT = _statement(r"[^\W_]", r"(?:[^\w\r\n]|_)*")
 #: Words of one meaning, in canonical form, after punctuation has gone; found as whole words.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "acknowledgement": "acknowledgment", "favour": "favor", "fulfil": "fulfill", "judgement": "judgment", "merchantibility": "merchantability",
@@ -30,10 +48,8 @@ _HAS_SPELLING = ("licence", "sub licen", "gement", "favour", "fulfil", "merchant
 
 
 def canonical_text(text: str) -> str:
-    """The canonical form in Python; the same as :func:`canonical` and the SQL."""
-    letters = r"[^\W_]"
-    t = text.lower()
-    t = re.sub(rf"(?m)^(?:(?!{letters})[^\n])*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$", "", t)
+    """The canonical form in Python; the same as :func:`canonical`."""
+    t = re.sub(_PYTHON_STATEMENT, "", text.lower())
     t = "".join(c if c.isalnum() else " " for c in t)
     t = " ".join(t.split())
     for a, b in SPELLINGS.items():
@@ -45,7 +61,7 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text; a step whose words can't occur is skipped by a plain search."""
     t = F.lower(text)
     marks = t.contains("copyright") | t.contains("(c)") | t.contains("©") | t.contains("all rights reserved")
-    t = F.when(marks, F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
+    t = F.when(marks, F.regexp_replace(t, _STATEMENT, "")).otherwise(t)
     t = F.trim(F.regexp_replace(t, _SIGNS, " "))
     some = functools.reduce(Column.__or__, [t.contains(x) for x in _HAS_SPELLING])
     fixed = t
@@ -66,7 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
     `license` is the licence whose entire text the document is, null if none;
     `notices` the licences that lines of it name, sorted, joined by commas, ''
     if none.  A null text has a null digest and no notices; an empty text, or one
-    of punctuation or copyright lines alone, has the digest of the empty text,
+    of punctuation or copyright statements alone, has the digest of the empty text,
     which is no licence.  No rows give no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -85,7 +101,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The scan in SQL, but for lines of more than 400 characters, whose notices it leaves out."""
+    """The scan in SQL, but for two limits: it takes out any line that begins with 'copyright', and skips notices in lines over 400 characters."""
 
     def canon(x: str) -> str:
         t = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import numpy as np
 import pytest
@@ -74,6 +76,19 @@ def test_long_licence_lines_are_looked_up(spark):
     assert len(flat) > 400 and [got[k].notices for k in range(3)] == ["MIT", "CC-BY-4.0", ""]
 
 
+def test_wrapped_and_flattened_licences_are_found(spark):
+    whole = [(n, t) for n, t in [*KNOWN, ("MIT", MIT)] if len(t) > 400]
+    texts = [(n, textwrap.fill(t, w)) for n, t in whole for w in range(24, 100, 4)]
+    texts += [(n, "Copyright (c) 2020 Some Body. " + " ".join(t.split())) for n, t in whole if t[:11] in ("Permission ", "Redistribut", "This softwa")]
+    texts += [("MIT", " ".join(MIT.replace("MIT License", "MIT License\n\nCopyright (c) 2020 Some Body").split()))]
+    got = scanned(spark, *[t for _, t in texts])
+    assert [got[k].license for k in range(len(texts))] == [n for n, _ in texts]
+    kept = ["copyright notice of it", "copyright\nholders be liable", "(c) You must retain", "copyrighted matter"]
+    gone = ["Copyright 2020 X", "# Copyright (C) X", "© X", "(c) 2020 X", "Copyright Jane Doe", "Copyright: The Authors", "All rights reserved."]
+    forms = [r[0] for r in spark.createDataFrame([(t,) for t in kept + gone], "t string").select(lic.canonical(F.col("t"))).collect()]
+    assert forms == [lic.canonical_text(t) for t in kept + gone] and all(forms[: len(kept)]) and not any(forms[len(kept) :])
+
+
 def test_canonical_forms_agree(spark):
     texts = ["Hello,  World!", "LICENCE\tand sub-licence", "Copyright 2020 X\nkept", "(c) me\n© you\nall rights reserved\nkept.", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.canonical(F.col("t")))
