@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .licences import DIGESTS, KNOWN
+from .licences import DIGESTS, ENTIRE, KNOWN
 
 _SIGNS = r"[^\p{L}\p{M}\p{N}]+"
 #: Of the SQL: every line that begins with one of these.
@@ -72,23 +72,31 @@ def canonical(text: Column) -> Column:
 
 @functools.cache
 def digests() -> dict[str, str]:
-    """Licence of each known digest."""
+    """Licence of each digest that the SQL knows too."""
     return DIGESTS | {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}
 
 
+def all_digests() -> dict[str, str]:
+    """Licence of each known digest."""
+    return digests() | ENTIRE
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, license, notices) of every row of `docs`, null doc_ids and repeated rows too.
 
-    `license` is the licence whose entire text the document is, null if none;
-    `notices` the licences that lines of it name, sorted, joined by commas, ''
+    `license` is the licence whose entire text the document is, null if none.
+    Known are the texts of ISC, 0BSD, BSD-2/3, Zlib, MIT, Unlicense, Apache-2.0,
+    GPL-1/2/3, LGPL-2/2.1/3, MPL-1.1/2.0, GFDL-1.2/1.3, CC0-1.0 and Artistic-1.0
+    (Perl); not AGPL, EPL, BSL and the other CC licences, nor changed editions.
+    `notices` are the licences that lines of it name, sorted, joined by commas, ''
     if none.  A null text has a null digest and no notices; an empty text, or one
     of punctuation or copyright statements alone, has the digest of the empty text,
     which is no licence.  No rows give no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(list(digests().items()), "digest string, license string")
+    known = spark.createDataFrame(list(all_digests().items()), "digest string, license string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_digest = F.create_map(*[F.lit(x) for kv in digests().items() for x in kv])
+    by_digest = F.create_map(*[F.lit(x) for kv in all_digests().items() for x in kv])
     lines = F.filter(F.split("text", "[\r\n]+"), lambda x: F.lower(x).contains("licen"))
     found = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256)))
     notices = F.when(F.col("text").contains("icen") | F.col("text").contains("ICEN"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")).otherwise("")
@@ -101,7 +109,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The scan in SQL, but for two limits: it takes out any line that begins with 'copyright', and skips notices in lines over 400 characters."""
+    """The scan in SQL, but for three limits: it lacks the digests of ENTIRE, takes out any line that begins with 'copyright', and skips notices in lines over 400 characters."""
 
     def canon(x: str) -> str:
         t = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"

@@ -1,4 +1,5 @@
 import textwrap
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -89,6 +90,17 @@ def test_wrapped_and_flattened_licences_are_found(spark):
     assert forms == [lic.canonical_text(t) for t in kept + gone] and all(forms[: len(kept)]) and not any(forms[len(kept) :])
 
 
+def test_complete_texts_of_common_licences_are_known(spark):
+    assert scanned(spark, "The " + MIT)[0].license == "MIT"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = [(p, n) for f, n in names.items() if (p := Path("/usr/share/common-licenses", f)).exists()]
+    if not found:
+        pytest.skip("no licence texts on this system")
+    texts = [p.read_text(encoding="utf-8") for p, _ in found]
+    got = scanned(spark, *texts, *[" ".join(t.split()) for t in texts])
+    assert [got[k].license for k in range(len(got))] == [n for _, n in found] * 2
+
+
 def test_canonical_forms_agree(spark):
     texts = ["Hello,  World!", "LICENCE\tand sub-licence", "Copyright 2020 X\nkept", "(c) me\n© you\nall rights reserved\nkept.", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(lic.canonical(F.col("t")))
