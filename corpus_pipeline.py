@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from entloom.llm import op1_secrets, op3_packing, op5_language, op6_neardup, op7_mixing
 from entloom.llm.store import Store
+from entloom.sources.documents import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,7 +31,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder of tables."""
     store = Store(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         docs = store.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
         if k:

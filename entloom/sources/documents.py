@@ -45,10 +45,16 @@ def read_table(spark: SparkSession, where: str, doc_id: str = "doc_id", text: st
     return df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"), (F.col("source").cast("string") if "source" in df.columns else F.lit(None).cast("string")).alias("source"))
 
 
+#: A table of more bytes than this is never moved only to have more splits.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows, dealt out evenly where a small table has fewer splits than there are cores.
+    """The same rows, dealt out evenly where a small table (SPREAD_BYTES by the planner's estimate) has fewer splits than there are cores.
 
-    A table of as many splits as cores or more isn't moved.
+    A table of one row group is one task otherwise, whatever is computed from it.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

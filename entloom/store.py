@@ -7,6 +7,8 @@ where the session has none, and only for a master on one machine.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -30,11 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Store:
-    """Tables of one operator call under a folder of their own."""
+    """Tables of one operator call under a folder of their own.
+
+    A result that is still to be read needs its tables, so what an operator doesn't
+    drop itself goes when the program ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._forget)
+
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # of a session that has ended before
+            self.drop()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
