@@ -33,6 +33,13 @@ WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
 WORD[ord("_")] = True
 
+#: Code points that separate words: Latin-1 signs, general punctuation to mathematical signs, those of Chinese and Japanese, byte order mark, full-width signs.
+BETWEEN = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x23FF), (0x2500, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x3020), (0xFE30, 0xFE4F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+#: Code points of scripts written without blanks, each a word of its own: Thai and Lao, Myanmar, Khmer, kana, Chinese.
+ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF))
+_EDGES, _KINDS = zip(*sorted([(lo, kind) for spans, kind in ((BETWEEN, 1), (ALONE, 2)) for lo, _ in spans] + [(hi + 1, 0) for spans in (BETWEEN, ALONE) for _, hi in spans if all(hi + 1 != lo for s in (BETWEEN, ALONE) for lo, _ in s)]), strict=True)
+_EDGES, _KINDS = np.array((0, *_EDGES)), np.array((0, *_KINDS), dtype=np.int8)
+
 
 def strings(column: pa.Array) -> pa.Array:
     """As an array of int64-offset strings, nulls kept."""
@@ -87,13 +94,39 @@ def lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray, edge: np.ndarray) -> None:
+    """Takes separators out of `inside`, and sets `edge` where a character that is a word of its own begins and ends."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return
+    first = data[lead].astype(np.int64)
+    size = np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2))
+    code = first & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    last = len(data) - 1
+    for k in range(1, 4):
+        code = np.where(size > k, (code << 6) | (data[np.minimum(lead + k, last)] & 0x3F), code)
+    kind = _KINDS[np.searchsorted(_EDGES, code, side="right") - 1]
+    between, wide = lead[kind == 1], size[kind == 1]
+    for k in range(4):
+        inside[np.minimum(between[wide > k] + k, last)] = False
+    alone, wide = lead[kind == 2], size[kind == 2]
+    edge[alone] = True
+    after = alone + wide
+    edge[after[after <= last]] = True
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every word: a run of letters, digits, _ or non-ASCII bytes."""
+    """Start, end and document of every word.
+
+    A word is a run of letters, digits, _ and other characters beyond ASCII that
+    aren't in BETWEEN; a character in ALONE is a word of its own.
+    """
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
     inside = WORD[data]
     edge = np.zeros(len(data), dtype=bool)
     edge[off[:-1][off[:-1] < len(data)]] = True
+    _beyond_ascii(data, inside, edge)
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:]
     last = inside.copy()

@@ -26,9 +26,10 @@ def clashing(df):
     """The same rows with columns named like those that operators use inside."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "key", "tokens", "n", "copies", "rate", "shard", "found", "bands", "root", "quality", "language", "x", "digest", "license", "label", "keep"):
+    names = "id key tokens n copies rate shard found bands root quality language x digest license label keep redacted k doc version row gone_doc gone_version seen n_words node lead part text_ Text2 piece window".split()
+    for name in (*names, *(f"_{n}" for n in ("tokens", "language", "row")), *(f"__{n}" for n in ("id", "k", "tokens", "copies", "language", "redacted", "rank", "seen")), "a.b", "TOKENS_", "c`d"):
         df = df.withColumn(name, F.lit("clash"))
-    return df
+    return df.withColumn("map", F.create_map(F.lit("a"), F.lit(1)))
 
 
 def empty(spark):

@@ -117,3 +117,96 @@ def test_one_of_many_exact_copies_stays(spark):
     rows = [(k, prose(1)) for k in range(500, 0, -1)] + [(1000, prose(2))]
     out = op.stage(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 1000]
+
+
+def plain_words(text):
+    """Words character by character."""
+    inside = lambda spans, c: any(lo <= ord(c) <= hi for lo, hi in spans)
+    out, word = [], ""
+    for c in text + " ":
+        alone = ord(c) > 127 and inside(bx.ALONE, c)
+        if (c.isascii() and (c.isalnum() or c == "_")) or (ord(c) > 127 and not alone and not inside(bx.BETWEEN, c)):
+            word += c.lower() if ord(c) < 0x100 else c
+            continue
+        if word:
+            out.append(word)
+        if alone:
+            out.append(c)
+        word = ""
+    return out
+
+
+TEXTS = ["", "one", "Two words", "a b c a b c a b c", "ÀÉÎ naïve—dash “quoted” l’eau", "汉字测试。汉字", "ภาษาไทย and more", "カタカナ、ひらがな", "x_1 ÿ × ÷ µ ª", "mixed 汉a字b", "\u3000full\uff0cwidth ＡＢ", "emoji 😀 end", "Ünïcödé" * 3, "한국어 단어"]
+
+
+def test_words_and_shingles_match_a_plain_version():
+    texts = [*TEXTS, *(prose(k, 40) for k in range(5)), "".join(TEXTS)]
+    enc = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(enc), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(e) for e in enc])])
+    start, end, doc = bx.words(data, off)
+    low = bx.lower(data).tobytes()
+    got = [[low[a:b].decode() for a, b, d in zip(start, end, doc, strict=True) if d == k] for k in range(len(texts))]
+    assert got == [plain_words(t) for t in texts]
+    hashes = bx.word_hashes(data, start, end)
+    flat = [w for ws in got for w in ws]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+    sdoc, ids, times = bx.shingles(data, off, 3)
+    name = {}
+    for k, ws in enumerate(got):
+        grams = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)] or ([tuple(ws)] if ws else [])
+        want = sorted(grams.count(g) for g in set(grams))
+        mine = sdoc == k
+        assert sorted(times[mine].tolist()) == want
+        name[k] = (set(grams), set(ids[mine].tolist()))
+    for a, b in combinations(name, 2):  # texts share as many ids as they share grams
+        assert len(name[a][1] & name[b][1]) == len(name[a][0] & name[b][0])
+
+
+def test_near_copies_in_a_script_without_blanks(spark):
+    import random
+
+    r = random.Random(3)
+    base = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200))
+    changed = base[:100] + "变" + base[101:]
+    other = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200))
+    assert {(x.doc_id, x.duplicate_of) for x in op.near_duplicates(frame(spark, [(1, base), (2, changed), (3, other)])).collect()} == {(2, 1)}
+
+
+def test_one_doc_id_with_several_texts_loses_none(spark):
+    quick = prose(2)
+    rows = [(5, prose(1)), (5, quick), (7, quick), (8, None), (8, prose(3)), (9, prose(4)), (9, prose(4)), (9, ""), (4, prose(1)), (10, prose(5)), (10, prose(5).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", k % 2) for k, (i, t) in enumerate(rows)], DOC)
+    assert {tuple(r) for r in op.near_duplicates(docs).collect()} == {(5, 4, 2), (7, 5, 2)}
+    for d in (docs, clashing(docs)):
+        out = [(r.doc_id, r.text) for r in op.stage(spark, d, "").collect()]
+        assert len(out) == len(set(out)) == 7
+        assert {x for x in out if x[0] != 10} == {(5, quick), (8, None), (8, prose(3)), (9, prose(4)), (9, ""), (4, prose(1))}
+        assert {t.lower() for i, t in out if i == 10} == {prose(5).lower()}
+        assert {t.lower() for t in (t for _, t in rows if t)} == {t.lower() for _, t in out if t}  # every text, or a copy of it, is left
+
+
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    """Members that the lead didn't join, in buckets larger than one round's leads."""
+    monkeypatch.setattr(op, "LEADS_GROW", 2)
+    monkeypatch.setattr(op, "SALT_ROWS", 3)
+    passage = prose(50, 90)
+    rows = [(100 * f + c, edited(passage + " " + prose(60 + f, 60), 0.01 * c, 100 * f + c)) for f in range(12) for c in range(4)]
+    good, want = brute_groups(rows)
+    got = {r.doc_id: r.duplicate_of for r in op.near_duplicates(frame(spark, rows)).collect()}
+    place = {i: k for k, (i, _) in enumerate(rows)}
+    mine = [place[got.get(i, i)] for i, _ in rows]
+    assert np.mean([mine[a] == mine[b] for a, b in good]) >= 0.97 and all(want[k] == want[m] for k, m in enumerate(mine))
+
+
+def test_idf_falls_with_every_document():
+    idf = op.idf_table(np.arange(1, 1001), 1000)
+    assert (np.diff(idf) < 0).all() and abs(idf[-1] - np.log1p(1 / (1 + op.IDF_SMOOTH))) < 1e-6
+
+
+def test_sql_says_the_same(spark):
+    duckdb = __import__("duckdb")
+    rows = sorted(corpus()) + [(9000 + k, t) for k, t in enumerate(TEXTS)] + [(9900, TEXTS[-1]), (9901, TEXTS[5])]
+    documents = frame(spark, rows).toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(con.execute(op.SQL).fetchall()) == sorted(tuple(r) for r in op.near_duplicates(frame(spark, rows)).collect())
