@@ -136,7 +136,8 @@ def head(tree, most: int):
     """Of a rule that ends in a repetition, the rule that ends after `most` times at the latest.
 
     It matches a beginning of every match of the rule.  Long counts of several
-    rules at once would multiply the states of a joint automaton.
+    rules at once would multiply the states of a joint automaton that looks for
+    them from every place.
     """
     kind = tree[0]
     if kind == "cat" and tree[1]:
@@ -307,96 +308,149 @@ def compile_rules(trees: list, search: bool, every: bool = False) -> Automaton:
     return Automaton(classes, (table * width).astype(np.int32).ravel(), masks, width, sum(not m for m in masks), dead[0] if dead and not search else -1)
 
 
+def _wide(a: Automaton) -> np.ndarray:
+    """The table with one class more, of what separates texts, which leads to the start."""
+    table = np.zeros((a.n_states, a.n_classes + 1), dtype=np.int32)
+    table[:, :-1] = a.table.reshape(a.n_states, a.n_classes) // a.n_classes * (a.n_classes + 1)
+    return table.ravel()
+
+
 class Scanner:
     """Leftmost-longest matches of each rule that don't overlap, as a search from left to right finds them.
 
-    The combined automaton of all rules' heads runs once over all bytes, many
-    stretches in step; only texts in whose stretch it accepts are searched for
-    exact places, by the reversed automaton of each rule it names (where matches
-    begin) and the rule's own (where they end).  `reach` must be at least the bytes from a match's first to the first byte at
-    which it is accepted: a stretch starts that far ahead of its own bytes.
+    Three minimal automata of all rules together.  The first knows their openings
+    (all up to the first byte of a count at a rule's end; counts of several rules at
+    once would multiply its states) and runs once over all bytes, many stretches in
+    step; where it accepts, it tells rule and place.  From there the second, of the
+    reversed openings, finds where they begin, and the third, of the full rules,
+    where the longest match from there ends; both take all places in step.  `reach`
+    must be at least the bytes from a match's first to the first byte at which it is
+    accepted: a stretch starts that far ahead of its own bytes.
     """
 
-    def __init__(self, patterns: list[str], reach: int = 96, stretch: int = 480, most: int = 4):
+    def __init__(self, patterns: list[str], reach: int = 96, stretch: int = 480):
+        if len(patterns) > 63:
+            raise ValueError("at most 63 rules fit a mask")
         trees = [parse(p) for p in patterns]
-        self.all = compile_rules([head(t, most) for t in trees], search=True)
-        self.forward = [compile_rules([t], search=False) for t in trees]
-        self.backward = [compile_rules([reverse(t)], search=True, every=True) for t in trees]
-        if max(map(shortest_reach, self.forward)) > reach:
+        self.openings = compile_rules([head(t, 1) for t in trees], search=True, every=True)
+        self.backward = compile_rules([reverse(head(t, 1)) for t in trees], search=False)
+        self.forward = compile_rules(trees, search=False)
+        if max(shortest_reach(compile_rules([t], search=False)) for t in trees) > reach:
             raise ValueError("a rule's first end may be further than `reach`")
-        self.reach, self.stretch = reach, stretch
-        self.lists = [a.table.tolist() for a in (self.all, *self.forward, *self.backward)]
-
-    def flagged(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Rows that may hold a match; all that hold one are among them."""
-        a = self.all
+        self.n_rules, self.reach, self.stretch = len(trees), reach, stretch
+        self.table = _wide(self.openings)
+        self.masks = {k: np.array(a.accept, dtype=np.uint64) for k, a in (("openings", self.openings), ("backward", self.backward), ("forward", self.forward))}
+        self.stays: dict[int, np.ndarray] = {}
+
+    def _opened(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place after the last byte, and rule of every opening."""
+        a = self.openings
         n_docs, total = len(off) - 1, len(data) + len(off) - 1
-        if not len(data):
-            return np.zeros(0, np.int64)
-        # a separator after each text leads to the start state
-        stream = np.full(total, a.n_classes, dtype=np.uint8)
-        size = np.diff(off)
-        place = np.arange(len(data)) + np.repeat(np.arange(n_docs), size)
-        stream[place] = a.classes[data]
-        table = np.zeros((a.n_states, a.n_classes + 1), dtype=np.int32)
-        table[:, :-1] = a.table.reshape(a.n_states, a.n_classes) // a.n_classes * (a.n_classes + 1)
-        flat, bound = table.ravel(), a.first_accept * (a.n_classes + 1)
+        stream = np.full(total, a.n_classes, dtype=np.uint8)  # a separator after each text
+        stream[np.arange(len(data)) + np.repeat(np.arange(n_docs), np.diff(off))] = a.classes[data]
         n = -(-total // self.stretch)
         span = self.stretch + self.reach
         padded = np.full(self.reach + n * self.stretch, a.n_classes, dtype=np.uint8)
         padded[self.reach : self.reach + total] = stream
         steps = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (span, n), (1, self.stretch)))
-        state, high, at = np.zeros(n, np.int32), np.zeros(n, np.int32), np.empty(n, np.int32)
-        for row in steps:
+        state, at = np.zeros(n, np.int32), np.empty(n, np.int64)
+        own = np.empty((self.stretch, n), np.int32)
+        for k, row in enumerate(steps):
             np.add(state, row, out=at)
-            np.take(flat, at, out=state, mode="clip")
-            np.maximum(high, state, out=high)
-        hit = np.flatnonzero(high >= bound)
-        starts = off[:-1] + np.arange(n_docs)
-        lo = np.searchsorted(starts, np.maximum(hit * self.stretch - self.reach, 0), side="right") - 1
-        hi = np.searchsorted(starts, (hit + 1) * self.stretch, side="left")
-        return np.unique(np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])) if len(hit) else np.zeros(0, np.int64)
-
-    def rules_in(self, text: bytes) -> int:
-        """Bit mask of the rules whose heads match somewhere."""
-        a, state, found = self.all, 0, 0
-        table, bound = self.lists[0], a.first_accept * a.n_classes
-        for c in text.translate(a.classes.tobytes()):
-            state = table[state + c]
-            if state >= bound:
-                found |= a.accept[state // a.n_classes]
-        return found
+            state = own[k - self.reach] if k >= self.reach else np.empty(n, np.int32)
+            np.take(self.table, at, out=state, mode="clip")
+        step, lane = np.nonzero(own >= a.first_accept * (a.n_classes + 1))
+        found = self.masks["openings"][own[step, lane] // (a.n_classes + 1)]
+        place = lane * self.stretch + step  # in the stream
+        row = np.searchsorted(off[1:] + np.arange(1, n_docs + 1), place, side="right")
+        which, rule = np.nonzero((found[:, None] >> np.arange(self.n_rules, dtype=np.uint64)) & np.uint64(1))
+        return row[which], place[which] - row[which] + 1, rule
+
+    def _begun(self, data: np.ndarray, off: np.ndarray, row: np.ndarray, place: np.ndarray, rule: np.ndarray) -> np.ndarray:
+        """(row, rule, start), sorted and each once, of the openings that end at these places."""
+        a, masks = self.backward, self.masks["backward"]
+        state, at, least = np.zeros(len(row), np.int64), place.copy(), off[row]
+        shift, key = rule.astype(np.uint64), np.stack([row, rule], axis=1)
+        found = []
+        for _ in range(self.reach):
+            live = (at > least) & (state != a.dead * a.n_classes)
+            if not live.all():
+                state, at, least, shift, key = (x[live] for x in (state, at, least, shift, key))
+            if not len(at):
+                break
+            at -= 1
+            state = a.table[state + a.classes[data[at]]].astype(np.int64)
+            hit = (masks[state // a.n_classes] >> shift) & np.uint64(1) > 0
+            if hit.any():
+                found.append(np.column_stack([key[hit], at[hit]]))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+    def _ended(self, data: np.ndarray, off: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+        """End of the longest match from each start, 0 if none; and (state, place) of those that go on beyond 4 * reach bytes."""
+        a, masks = self.forward, self.masks["forward"]
+        end = np.zeros(len(begun), np.int64)
+        k, at, last, shift = np.arange(len(begun)), begun[:, 2].copy(), off[begun[:, 0] + 1], begun[:, 1].astype(np.uint64)
+        state = np.zeros(len(begun), np.int64)
+        for _ in range(4 * self.reach):
+            live = (at < last) & (state != a.dead * a.n_classes)
+            if not live.all():
+                state, at, last, shift, k = (x[live] for x in (state, at, last, shift, k))
+            if not len(at):
+                break
+            state = a.table[state + a.classes[data[at]]].astype(np.int64)
+            at += 1
+            hit = (masks[state // a.n_classes] >> shift) & np.uint64(1) > 0
+            end[k[hit]] = at[hit]
+        return end, {int(i): (int(q), int(p)) for i, q, p in zip(k, state, at, strict=True) if q != a.dead * a.n_classes and p < off[begun[i, 0] + 1]}
+
+    def _run_on(self, data: np.ndarray, rule: int, state: int, at: int, last: int, end: int) -> int:
+        """The end of a match that goes on: bytes that leave a state as it is are skipped at once."""
+        a = self.forward
+        while at < last and state != a.dead * a.n_classes:
+            q = state // a.n_classes
+            if q not in self.stays:
+                self.stays[q] = (a.table[state : state + a.n_classes] == state)[a.classes]
+            part = data[at : min(last, at + (1 << 16))]
+            leaves = ~self.stays[q][part]
+            n = int(leaves.argmax()) if leaves.any() else len(part)
+            at += n
+            if n and a.accept[q] >> rule & 1:
+                end = at
+            if n < len(part):
+                state = int(a.table[state + int(a.classes[data[at]])])
+                at += 1
+                if a.accept[state // a.n_classes] >> rule & 1:
+                    end = at
+        return end
+
+    def scan(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """(row, rule, start, end) of all matches by row, rule and place; places in bytes of `data`."""
+        if not len(data):
+            return np.zeros((0, 4), np.int64)
+        begun = self._begun(data, off, *self._opened(data, off))
+        end, open_ = self._ended(data, off, begun)
+        out, group, free = [], (-1, -1), 0
+        for k, (row, rule, start) in enumerate(begun.tolist()):
+            if (row, rule) != group:
+                group, free = (row, rule), 0
+            if start < free:
+                continue
+            stop = int(end[k])
+            if k in open_:
+                stop = self._run_on(data, rule, *open_[k], int(off[row + 1]), stop)
+            if stop:
+                out.append((row, rule, start, stop))
+                free = stop
+        return np.array(out, dtype=np.int64).reshape(-1, 4)
+
+    def flagged(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows that hold a match."""
+        return np.unique(self.scan(data, off)[:, 0])
 
     def matches(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(rule, start, end) in bytes, by rule and start."""
-        found, out = self.rules_in(text), []
-        for r in range(len(self.forward)):
-            if not found >> r & 1:
-                continue
-            back, ahead = self.backward[r], self.forward[r]
-            table, state, bound, begins = self.lists[1 + len(self.forward) + r], 0, back.first_accept * back.n_classes, []
-            mapped = text.translate(back.classes.tobytes())
-            for i in range(len(mapped) - 1, -1, -1):
-                state = table[state + mapped[i]]
-                if state >= bound:
-                    begins.append(i)
-            table, bound, dead = self.lists[1 + r], ahead.first_accept * ahead.n_classes, ahead.dead * ahead.n_classes
-            mapped, free = text.translate(ahead.classes.tobytes()), 0
-            for i in reversed(begins):
-                if i < free:
-                    continue
-                state, j, end = 0, i, -1
-                while j < len(mapped):
-                    state = table[state + mapped[j]]
-                    j += 1
-                    if state >= bound:
-                        end = j
-                    elif state == dead:
-                        break
-                if end > 0:
-                    out.append((r, i, end))
-                    free = end
-        return out
+        """(rule, start, end) in bytes of one text, by rule and start."""
+        data = np.frombuffer(text, dtype=np.uint8)
+        return [tuple(m) for m in self.scan(data, np.array([0, len(data)]))[:, 1:].tolist()]
 
 
 def shortest_reach(a: Automaton) -> int:

@@ -1,8 +1,10 @@
 """Secret scans by one combined automaton (operator 1).
 
 All rules are compiled into a single minimal automaton (:mod:`.automaton`) that
-passes over every byte once.  Rules are of a kind whose first end lies within a
-bounded distance of their start, so texts can be scanned in stretches.
+passes over every byte once and tells rule and place; each such place is decided
+by the automaton of the full rules, all places in step.  Rules are of a kind whose
+first end lies within a bounded distance of their start, so texts can be scanned in
+stretches.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import bytesx as bx
 from .automaton import Scanner
+from .names import free
 from .store import small_batches
 
 #: Understood alike by this automaton, by RE2 and by Java.
@@ -40,30 +44,27 @@ def scanner() -> Scanner:
     return Scanner(list(RULES.values()))
 
 
-def _found(column: pa.Array) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
-    """Row, bytes and matches of the rows that have any."""
-    scan = scanner()
+def _found(column: pa.Array, scan: Scanner) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of stretches of rows: the first row, the bytes, the rows' bounds, and (row, rule, start, end) of the matches, rows from the first on."""
     data, off = bx.buffers(column)
     for lo, hi in bx.slices(off, 4 * bx.SLICE_BYTES):
         part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        for k in scan.flagged(part, at):
-            text = part[at[k] : at[k + 1]].tobytes()
-            if found := scan.matches(text):
-                yield lo + int(k), text, found
+        found = scan.scan(part, at)
+        if len(found):
+            yield lo, part, at, found
 
 
-def _chars(text: bytes, at: int) -> int:
-    """Code points before a byte offset."""
-    part = np.frombuffer(text, dtype=np.uint8, count=at)
-    return int(((part & 0xC0) != 0x80).sum())
+def _finder(scan_b):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for lo, part, at, found in _found(batch.column(1), scan_b.value):
+                row, rule, start, end = found.T
+                chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])  # code points before a byte
+                hashes = [hashlib.sha256(part[a:b]).hexdigest() for a, b in zip(start, end, strict=True)]
+                columns = [pa.array(np.array(NAMES, dtype=object)[rule], pa.string()), pa.array(chars[start] - chars[at[row]], pa.int32()), pa.array(chars[end] - chars[start], pa.int32()), pa.array(hashes, pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), *columns], ["doc_id", "rule", "start", "length", "secret_sha256"])
 
-
-def _findings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        ids = batch.column(0)
-        rows = [(ids[k].as_py(), NAMES[r], _chars(text, a), _chars(text[a:], b - a), hashlib.sha256(text[a:b]).hexdigest()) for k, text, found in _found(batch.column(1)) for r, a, b in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["doc_id", "rule", "start", "length", "secret_sha256"])
+    return run
 
 
 def findings(docs: DataFrame) -> DataFrame:
@@ -71,49 +72,66 @@ def findings(docs: DataFrame) -> DataFrame:
 
     Matches of one rule are leftmost-longest and don't overlap; those of two rules
     may.  Null and empty texts have none; a null doc_id is carried as null; rows
-    that repeat give their findings again; no rows give no rows.  Other columns
-    are not read.
+    that repeat give their findings again; no rows give no rows.  Texts of any
+    length are scanned whole.  Other columns are not read, so their names don't
+    matter.
     """
     small_batches(docs.sparkSession)
+    scan_b = docs.sparkSession.sparkContext.broadcast(scanner())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_findings, "doc_id long, rule string, start int, length int, secret_sha256 string")
+    return rows.mapInArrow(_finder(scan_b), "doc_id long, rule string, start int, length int, secret_sha256 string")
+
+
+def _redactor(scan_b):
+    def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """The text with every secret replaced by its rule's name; null where it has none."""
+        for column in it:
+            out: dict[int, str] = {}
+            for lo, part, at, found in _found(column, scan_b.value):
+                found = found[np.lexsort((-found[:, 3], found[:, 2], found[:, 0]))]
+                for row, mine in zip(*_by_row(found), strict=True):
+                    text = part[at[row] : at[row + 1]].tobytes()
+                    done, parts = 0, []
+                    for _, r, a, b in (mine - [0, 0, at[row], at[row]]).tolist():
+                        if a >= done:
+                            parts += [text[done:a], b"[" + NAMES[r].upper().encode() + b"]"]
+                        done = max(done, b)
+                    out[lo + row] = b"".join([*parts, text[done:]]).decode("utf-8", "replace")
+            yield pa.array([out.get(k) for k in range(len(column))], pa.string())
+
+    return run
 
 
-def _redact(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The text with every secret replaced by its rule's name; null where it has none."""
-    for column in it:
-        out: dict[int, str] = {}
-        for k, text, found in _found(column):
-            done, parts = 0, []
-            for r, a, b in sorted(found, key=lambda m: (m[1], -m[2])):
-                if a >= done:
-                    parts += [text[done:a], b"[" + NAMES[r].upper().encode() + b"]"]
-                done = max(done, b)
-            out[k] = b"".join([*parts, text[done:]]).decode("utf-8", "replace")
-        yield pa.array([out.get(k) for k in range(len(column))], pa.string())
+def _by_row(found: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    first = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0]))
+    return found[first, 0].tolist(), np.split(found, first[1:])
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with every secret in `text` replaced, and `n_chars`, where there is one, set to the new length.
 
     Of overlapping secrets the first, at one place the longest, names the
-    replacement of all their bytes.  Rows without a secret, null texts among
-    them, stay as they are.
+    replacement of all their bytes.  Rows without a secret, null and empty texts
+    among them, stay as they are, and so do rows that repeat, and all other
+    columns whatever their names.  Texts of any length are scanned whole.  No rows
+    give no rows.
     """
     small_batches(docs.sparkSession)
-    new = "__redacted"
-    df = docs.withColumn(new, F.arrow_udf(_redact, "string").asNondeterministic()(F.col("text").cast("string")))
+    (new,) = free(docs.columns, "redacted")
+    scan_b = docs.sparkSession.sparkContext.broadcast(scanner())
+    df = docs.withColumn(new, F.arrow_udf(_redactor(scan_b), "string").asNondeterministic()(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return df.withColumn("text", F.coalesce(new, "text")).drop(new)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows of `docs`, their secrets replaced; see :func:`redacted`."""
     return redacted(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return findings(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _sql() -> str:

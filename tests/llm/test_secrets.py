@@ -89,3 +89,28 @@ def test_findings_and_redaction(spark):
     assert ids(out.filter("doc_id < 20"), "doc_id", "text", "n_chars") == ids(docs.filter("doc_id < 20"), "doc_id", "text", "n_chars")
     assert op.findings(empty(spark)).count() == 0 and op.redacted(empty(spark)).count() == 0
     assert op.redacted(clashing(docs)).columns == clashing(docs).columns
+
+
+def test_overlapping_openings_like_re():
+    import random
+
+    r = random.Random(1)
+    parts = ["AK", "IA", "AKIA", "A", "K", "eyJ", "ghp_", "a1", "_", "-", "sk_live_", "xoxb-", "AIza", "Q9", 'token="', " "]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(5, 60)))
+        assert sorted((op.NAMES[q], a, b - a) for q, a, b in op.scanner().matches(text.encode())) == brute(text)
+
+
+def test_long_secrets_run_to_their_end():
+    for n in (300, 400, 70_000):
+        text = "x ghp_" + "a1" * n + ". eyJ" + "_-" * n + '" secret="' + "+/" * n
+        assert sorted((op.NAMES[q], a, b - a) for q, a, b in op.scanner().matches(text.encode())) == brute(text)
+
+
+def test_rules_without_a_final_count():
+    s = Scanner(["a{2,}b?", "x[0-9]{1,9}y"], reach=24, stretch=16)
+    with pytest.raises(ValueError, match="63"):
+        Scanner(["a"] * 64)
+    text = "aaab x12y " + "a" * 200 + "b x1"
+    want = sorted((k, *m.span()) for k, p in enumerate(["a{2,}b?", "x[0-9]{1,9}y"]) for m in re.finditer(p, text))
+    assert sorted(s.matches(text.encode())) == want
