@@ -6,6 +6,10 @@ the left, above and above left, so a batch of images is undone along its
 anti-diagonals, all images and rows of one diagonal at once, whatever mix of the
 five filters the rows use.  A perceptual hash is the sign of the low-frequency
 cosine-transform coefficients against their median.
+
+The transform reads a small picture of means, which is a sum over pixels, so large
+images are inflated and undone in bands of rows and never held; the passes of an
+interlaced image are added up in the same way.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import bytesx as bx
+from .names import free
 from .store import small_batches
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -28,19 +34,47 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 _DEPTHS = {0: {1, 2, 4, 8, 16}, 2: {8, 16}, 3: {1, 2, 4, 8}, 4: {8, 16}, 6: {8, 16}}
 HASH_SIDE, HASH_LOW = 32, 8
-#: Pixels a decoded image may have; more is an error of its own ("too large"), and guards against inflation bombs.
-MOST_PIXELS = 1 << 26
+#: Bytes of filtered rows that are held at once: larger images go in bands. No image is too large.
+BAND_BYTES = 1 << 22
+#: Of an interlaced image: first column and row, and their steps, of each pass.
+_ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 @dataclass
-class Raw:
+class Header:
     width: int
     height: int
     depth: int
     colour: int
-    rows: np.ndarray  # height x (1 + bytes of a row): filter type and filtered bytes
-    step: int  # bytes of a pixel, 1 at least
+    interlaced: bool
     palette: np.ndarray | None
+    data: list[bytes]  # contents of the IDAT chunks
+
+    @property
+    def step(self) -> int:
+        """Bytes of a pixel, 1 at least."""
+        return max(1, self.depth * _SAMPLES[self.colour] // 8)
+
+    def line(self, width: int) -> int:
+        """Bytes of a filtered row."""
+        return 1 + (width * self.depth * _SAMPLES[self.colour] + 7) // 8
+
+
+@dataclass
+class Raw:
+    """Rows of an image, of a band or of an interlacing pass."""
+
+    header: Header
+    width: int
+    rows: np.ndarray  # height x (1 + bytes of a row): filter type and filtered bytes
+
+    @property
+    def step(self) -> int:
+        return self.header.step
+
+    @property
+    def height(self) -> int:
+        return len(self.rows)
 
 
 def chunks(png: bytes) -> list[tuple[bytes, bytes]]:
@@ -63,43 +97,76 @@ def chunks(png: bytes) -> list[tuple[bytes, bytes]]:
             return found
 
 
-def inflate(png: bytes) -> Raw:
-    """Header and filtered rows of a PNG that isn't interlaced; ValueError says what is wrong."""
+def header(png: bytes) -> Header:
+    """What a PNG says of itself, all checksums tested; ValueError says what is wrong."""
     found = chunks(png)
     if found[0][0] != b"IHDR" or len(found[0][1]) != 13:
         raise ValueError("no header")
     width, height, depth, colour, compression, filters, interlace = struct.unpack(">IIBBBBB", found[0][1])
-    if not width or not height or depth not in _DEPTHS.get(colour, ()) or compression or filters:
+    if not 0 < width < 1 << 31 or not 0 < height < 1 << 31 or depth not in _DEPTHS.get(colour, ()) or compression or filters or interlace > 1:
         raise ValueError("bad header")
-    if interlace:
-        raise ValueError("interlaced")
-    if width * height > MOST_PIXELS:
-        raise ValueError("too large")
     palette = next((np.frombuffer(b, np.uint8).reshape(-1, 3) for k, b in found if k == b"PLTE" and b and len(b) % 3 == 0), None)
     if colour == 3 and palette is None:
         raise ValueError("no palette")
-    bits = depth * _SAMPLES[colour]
-    line = 1 + (width * bits + 7) // 8
-    engine = zlib.decompressobj()
-    try:
-        data = engine.decompress(b"".join(b for k, b in found if k == b"IDAT"), line * height + 1)
-    except zlib.error as e:
-        raise ValueError("bad pixel data") from e
-    if len(data) != line * height or not engine.eof and engine.decompress(engine.unconsumed_tail, 1):
-        raise ValueError("bad pixel data")
-    rows = np.frombuffer(data, dtype=np.uint8).reshape(height, line)
-    if rows[:, 0].max() > 4:
-        raise ValueError("bad filter")
-    return Raw(width, height, depth, colour, rows, max(1, bits // 8), palette)
-
-
-def unfilter(images: list[Raw]) -> list[np.ndarray]:
-    """Bytes of the rows of images that share bytes of a row and of a pixel; shorter ones are filled up with rows of zeros."""
+    return Header(width, height, depth, colour, bool(interlace), palette, [b for k, b in found if k == b"IDAT"])
+
+
+class _Inflater:
+    """Rows of pixel data, as many at a time as are asked for."""
+
+    def __init__(self, head: Header):
+        self.engine, self.parts, self.left = zlib.decompressobj(), iter(head.data), b""
+
+    def take(self, size: int) -> bytes:
+        out = []
+        while size > 0 and not self.engine.eof:
+            if not self.left:
+                self.left = next(self.parts, b"")
+                if not self.left:
+                    break
+            try:
+                out.append(self.engine.decompress(self.left, size))
+            except zlib.error as e:
+                raise ValueError("bad pixel data") from e
+            self.left = self.engine.unconsumed_tail
+            size -= len(out[-1])
+        return b"".join(out)
+
+    def rows(self, n: int, line: int) -> np.ndarray:
+        data = self.take(n * line)
+        if len(data) != n * line:
+            raise ValueError("bad pixel data")
+        rows = np.frombuffer(data, dtype=np.uint8).reshape(n, line)
+        if n and rows[:, 0].max() > 4:
+            raise ValueError("bad filter")
+        return rows
+
+    def end(self) -> None:
+        if self.take(1) or not self.engine.eof:
+            raise ValueError("bad pixel data")
+
+
+def inflate(png: bytes, head: Header | None = None) -> Raw:
+    """All filtered rows of an image that isn't interlaced."""
+    head = head or header(png)
+    engine = _Inflater(head)
+    rows = engine.rows(head.height, head.line(head.width))
+    engine.end()
+    return Raw(head, head.width, rows)
+
+
+def unfilter(images: list[Raw], above: np.ndarray | None = None) -> list[np.ndarray]:
+    """Bytes of the rows of images that share bytes of a row and of a pixel; shorter ones are filled up with rows of zeros.
+
+    `above` has the bytes of the row above a single image's first; zeros if None.
+    """
     line, step = images[0].rows.shape[1] - 1, images[0].step
     n, height = len(images), max(r.height for r in images)
     width = line // step
     kinds = np.zeros((height, n), dtype=np.uint8)
     x = np.zeros((height + 1, width + 1, n, step), dtype=np.int16)  # a row above and a pixel to the left are zeros
+    if above is not None:
+        x[0, 1:, 0] = above.reshape(width, step)
     for k, r in enumerate(images):
         kinds[: r.height, k] = r.rows[:, 0]
         x[1 : r.height + 1, 1:, k] = r.rows[:, 1:].reshape(r.height, width, step)
@@ -124,27 +191,54 @@ def unfilter(images: list[Raw]) -> list[np.ndarray]:
 
 def gray(raw: Raw, rows: np.ndarray) -> np.ndarray:
     """Brightness from 0 to 255 of every pixel."""
-    samples = _SAMPLES[raw.colour]
-    if raw.depth == 16:
-        v = rows.reshape(raw.height, raw.width, samples, 2)[..., 0].astype(np.float64)
-    elif raw.depth == 8:
-        v = rows.reshape(raw.height, raw.width, samples).astype(np.float64)
+    head, width, height = raw.header, raw.width, raw.height
+    samples = _SAMPLES[head.colour]
+    if head.depth == 16:
+        v = rows.reshape(height, width, samples, 2)[..., 0].astype(np.float64)
+    elif head.depth == 8:
+        v = rows.reshape(height, width, samples).astype(np.float64)
     else:
-        bits = np.unpackbits(rows, axis=1)[:, : raw.width * raw.depth].reshape(raw.height, raw.width, raw.depth)
-        v = (bits @ (1 << np.arange(raw.depth)[::-1]))[..., None].astype(np.float64)
-        if raw.colour == 0:
-            v *= 255 / ((1 << raw.depth) - 1)
-    if raw.colour == 3:
-        v = raw.palette[np.minimum(v[..., 0].astype(int), len(raw.palette) - 1)].astype(np.float64)
+        bits = np.unpackbits(rows, axis=1)[:, : width * head.depth].reshape(height, width, head.depth)
+        v = (bits @ (1 << np.arange(head.depth)[::-1]))[..., None].astype(np.float64)
+        if head.colour == 0:
+            v *= 255 / ((1 << head.depth) - 1)
+    if head.colour == 3:
+        v = head.palette[np.minimum(v[..., 0].astype(int), len(head.palette) - 1)].astype(np.float64)
     return v[..., :3] @ np.array([0.299, 0.587, 0.114]) if v.shape[-1] >= 3 else v[..., 0]
 
 
-def _reduce(n: int) -> np.ndarray:
-    """Matrix from n pixels to the means of HASH_SIDE equal stretches."""
+def _reduce(n: int, at: np.ndarray) -> np.ndarray:
+    """Matrix from the pixels `at` of n to the means of HASH_SIDE equal stretches of all."""
     edge = np.arange(HASH_SIDE + 1) * n / HASH_SIDE
     lo, hi = edge[:-1, None], edge[1:, None]
-    k = np.arange(n)
-    return np.clip(np.minimum(hi, k + 1) - np.maximum(lo, k), 0, None) / (n / HASH_SIDE)
+    return np.clip(np.minimum(hi, at + 1) - np.maximum(lo, at), 0, None) / (n / HASH_SIDE)
+
+
+def _means(head: Header, image: np.ndarray, ys: np.ndarray, x0: int, dx: int) -> np.ndarray:
+    """What rows `ys`, of columns from x0 in steps, add to the small picture."""
+    small = np.zeros((len(image), HASH_SIDE))
+    for lo in range(0, image.shape[1], 1 << 15):
+        part = image[:, lo : lo + (1 << 15)]
+        small += part @ _reduce(head.width, x0 + dx * np.arange(lo, lo + part.shape[1])).T
+    return _reduce(head.height, ys) @ small
+
+
+def in_bands(head: Header) -> np.ndarray:
+    """The small picture of an image of any size, interlaced or not, holding BAND_BYTES or one row at a time."""
+    engine, small = _Inflater(head), np.zeros((HASH_SIDE, HASH_SIDE))
+    for x0, y0, dx, dy in _ADAM7 if head.interlaced else ((0, 0, 1, 1),):
+        width, height = max(0, -(-(head.width - x0) // dx)), max(0, -(-(head.height - y0) // dy))
+        if not width or not height:
+            continue
+        line = head.line(width)
+        most, above = max(1, BAND_BYTES // line), None
+        for lo in range(0, height, most):
+            raw = Raw(head, width, engine.rows(min(most, height - lo), line))
+            rows = unfilter([raw], above)[0]
+            above = rows[-1]
+            small += _means(head, gray(raw, rows), y0 + dy * np.arange(lo, lo + len(rows)), x0, dx)
+    engine.end()
+    return small
 
 
 _COS = np.cos(np.pi * (2 * np.arange(HASH_SIDE) + 1) * np.arange(HASH_LOW)[:, None] / (2 * HASH_SIDE))
@@ -152,7 +246,10 @@ _COS = np.cos(np.pi * (2 * np.arange(HASH_SIDE) + 1) * np.arange(HASH_LOW)[:, No
 
 def perceptual_hash(image: np.ndarray) -> int:
     """64 bits as a signed integer: which low-frequency coefficients exceed their median; the constant one is left out of it."""
-    small = _reduce(image.shape[0]) @ image @ _reduce(image.shape[1]).T
+    return _hash(_reduce(image.shape[0], np.arange(image.shape[0])) @ image @ _reduce(image.shape[1], np.arange(image.shape[1])).T)
+
+
+def _hash(small: np.ndarray) -> int:
     low = np.round(_COS @ small @ _COS.T, 6).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
@@ -160,28 +257,31 @@ def perceptual_hash(image: np.ndarray) -> int:
 
 
 def decode(pngs: list[bytes | None]) -> list[tuple[int | None, int | None, int | None, str | None]]:
-    """(width, height, hash, error) of each image. Images of the same row length are undone together."""
+    """(width, height, hash, error) of each image. Small images of the same row length are undone together."""
     out: list = [(None, None, None, "null")] * len(pngs)
     groups: dict[tuple[int, int], list[tuple[int, Raw]]] = {}
     for k, png in enumerate(pngs):
         if png is None:
             continue
         try:
-            raw = inflate(png)
+            head = header(png)
+            if head.interlaced or head.line(head.width) * head.height > BAND_BYTES:
+                out[k] = (head.width, head.height, _hash(in_bands(head)), None)
+                continue
+            raw = inflate(png, head)
         except ValueError as e:
             out[k] = (None, None, None, str(e))
         else:
-            groups.setdefault((raw.rows.shape[1], raw.step), []).append((k, raw))
+            groups.setdefault((raw.rows.shape[1], head.step), []).append((k, raw))
     for found in groups.values():
         found.sort(key=lambda f: f[1].height)
         lo = 0
         while lo < len(found):
-            hi, size = lo + 1, found[lo][1].rows.size
+            hi = lo + 1
             while hi < len(found) and hi - lo < 256 and found[hi][1].rows.size * (hi + 1 - lo) < 1 << 20 and found[hi][1].height <= 1.25 * found[lo][1].height + 8:
                 hi += 1
-            del size
             for (k, raw), rows in zip(found[lo:hi], unfilter([r for _, r in found[lo:hi]]), strict=True):
-                out[k] = (raw.width, raw.height, perceptual_hash(gray(raw, rows)), None)
+                out[k] = (raw.width, raw.height, _hash(_means(raw.header, gray(raw, rows), np.arange(raw.height), 0, 1)), None)
             lo = hi
     return out
 
@@ -225,7 +325,8 @@ def _render(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def rendered(pages: DataFrame) -> DataFrame:
     """(page_id, image): the bytes of a page's whole HTML as a gray PNG, RENDER_WIDTH pixels wide.
 
-    The tables hold no images; this gives every page one.  Null and empty HTML has a null image.
+    The tables hold no images; this gives every page one.  Null and empty HTML has a
+    null image; very long HTML makes a tall image, none of it is cut.
     """
     small_batches(pages.sparkSession)
     return pages.select("page_id", F.arrow_udf(_render, "binary")(F.col("html").cast("string")).alias("image"))
@@ -236,7 +337,10 @@ def described(images: DataFrame, key: str = "page_id", column: str = "image") ->
 
     `error` is null for an image that decodes; otherwise it says what is wrong
     ("null" for a null) and the others are null.  An empty value has no signature.
-    Rows that repeat, and null keys, are carried as they are.  No rows give no rows.
+    Images of any size are decoded, large and interlaced ones in bands of rows.
+    Rows that repeat, and null keys, are carried as they are; images that look alike
+    may share a hash.  No rows give no rows.  Other columns are not read, so their
+    names don't matter.
     """
     small_batches(images.sparkSession)
 
@@ -249,8 +353,9 @@ def described(images: DataFrame, key: str = "page_id", column: str = "image") ->
 
     # not deterministic for the planner only, which would otherwise decode once for each field
     seen = F.arrow_udf(run, "width int, height int, phash long, error string").asNondeterministic()(F.col(column).cast("binary"))
-    return images.select(F.col(key), seen.alias("__seen")).select(key, "__seen.*")
+    (name,) = free([key], "seen")
+    return images.select(F.col(key), seen.alias(name)).select(key, f"{name}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(rendered(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return described(rendered(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
