@@ -24,7 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import tokens as tk
+from .names import free
 from .store import Store
 
 #: Targets are the source shares to this power, where none are given.
@@ -33,7 +35,8 @@ EPOCHS = 1.0
 #: How softly the mean of ln(tokens) is held; without it, sources of other lengths could have no solution.
 RIDGE = 0.25
 MOST_ROUNDS = 40
-TOLERANCE = 1e-9
+MOST_HALVINGS = 50
+TOLERANCE = 1e-12
 
 
 @dataclass
@@ -106,12 +109,14 @@ def solve(counted: DataFrame, target: dict[str, float] | None = None) -> Mix:
         step_slope = -(slope_gradient - sum(now[s][1] * gradient[s] / now[s][0] for s in goal)) / schur
         step = {s: -(gradient[s] + now[s][1] * step_slope) / now[s][0] for s in goal}
         size, before = 1.0, dual(mix, now)
-        while True:
+        for _ in range(MOST_HALVINGS):
             trial = Mix({s: mix.tilt[s] + size * step[s] for s in goal}, mix.slope + size * step_slope, mean, mix.spread, goal, k, 0.0)
             after = sums(trial)
             if dual(trial, after) <= before + 1e-12:
                 break
             size /= 2
+        else:
+            raise RuntimeError(f"the dual doesn't fall along Newton's step of round {k}: {before}")
         mix, now = trial, after
     mix.error = error(mix, now)
     return mix
@@ -123,8 +128,8 @@ def rate(mix: Mix, source: Column, tokens: Column, epochs: float = EPOCHS) -> Co
 
 
 def copies(rate_: Column, doc_id: Column) -> Column:
-    """The rate rounded up or down, by a uniform number that is the doc_id's own."""
-    uniform = F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(7)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    """The rate rounded up or down, by a uniform number that is the doc_id's own: the first 32 bits of its MD5 sum."""
+    uniform = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     return F.floor(rate_ + uniform).cast("int")
 
 
@@ -142,7 +147,9 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, epochs: float
 
     A null source, or no such column, is the source ''.  A document without tokens
     (null or empty text) has rate 0.  Rows that repeat are documents of their own
-    and round alike; so do null doc_ids.  No rows give no rows.
+    and round alike; so do null doc_ids.  Tokens of texts of any length are all
+    counted.  No rows give no rows.  Other columns are not read, so their names
+    don't matter.
     """
     store = Store(docs.sparkSession, "mixing")
     counts = store.keep(counted_tokens(docs), "tokens")
@@ -152,13 +159,41 @@ def mixed(docs: DataFrame, target: dict[str, float] | None = None, epochs: float
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`docs` with every row as often as its copies say; the columns stay as they are."""
+    """`docs` with every row as often as its copies say; the columns stay as they are, whatever their names.
+
+    Rows without tokens have no copy.  Tokens are counted once, into a table of the
+    rows and their counts that both the balancing and the copying read.
+    """
     store = Store(spark, "mixing-stage")
-    mix = _solved(counted_tokens(docs), store, None)
-    times = copies(F.round(rate(mix, _source(docs), F.col("__tokens")), 6), F.col("doc_id"))
-    df = docs.withColumn("__tokens", tk.counted_once(F.col("text"))).withColumn("__copies", times).filter("__copies > 0")
-    return df.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    tokens, k = free(docs.columns, "tokens", "k")
+    rows = store.keep(docs.withColumn(tokens, tk.count(F.col("text"))), "rows")
+    table = rows.select(_source(rows).alias("source"), F.col(tokens).alias("tokens"))
+    mix = _solved(table, store, None)
+    times = copies(F.round(rate(mix, _source(docs), F.col(tokens)), 6), F.col("doc_id"))
+    return rows.withColumn(k, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop(tokens, k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def _sql(rounds: int = 12) -> str:
+    """The same rates in SQL: given the slope, every source's tilt is known, so Newton's method on the slope alone, unrolled."""
+    piece = tk.PIECE.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n")
+    steps = "".join(f""",
+s{k} AS (SELECT goal, sum(w * exp(v{k - 1}.v * z)) AS p, sum(w * exp(v{k - 1}.v * z) * z) AS pz, sum(w * exp(v{k - 1}.v * z) * z * z) AS pzz FROM lengths, v{k - 1} GROUP BY source, goal),
+v{k} AS (SELECT v - (SELECT sum(goal * pz / p) + {RIDGE} * v FROM s{k}) / (SELECT sum(goal * (pzz / p - pz / p * pz / p)) + {RIDGE} FROM s{k}) AS v FROM v{k - 1})""" for k in range(1, rounds + 1))
+    return f"""WITH counted AS (SELECT doc_id, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '{piece}')), 0) AS BIGINT) AS tokens FROM documents),
+have AS (SELECT source, CAST(sum(tokens) AS DOUBLE) AS t FROM counted WHERE tokens > 0 GROUP BY source),
+goals AS (SELECT source, t, sqrt(t) / (SELECT sum(sqrt(t)) FROM have) AS goal FROM have),
+units AS (SELECT (SELECT sum(t) FROM have) AS whole, sum(tokens * ln(tokens)) / sum(tokens) AS mean, sum(tokens * ln(tokens) * ln(tokens)) / sum(tokens) AS square FROM counted WHERE tokens > 0),
+lengths AS (SELECT source, goal, CAST(tokens AS DOUBLE) * count(*) / any_value(whole) AS w, (ln(tokens) - any_value(mean)) / sqrt(any_value(square) - any_value(mean) * any_value(mean)) AS z
+    FROM counted JOIN goals USING (source), units WHERE tokens > 0 GROUP BY source, goal, tokens),
+v0 AS (SELECT CAST(0 AS DOUBLE) AS v){steps},
+tilts AS (SELECT source, any_value(v) AS v, any_value(goal) / sum(w * exp(v * z)) AS tilt FROM lengths, v{rounds} GROUP BY source),
+rated AS (SELECT doc_id, c.source, tokens, round(CASE WHEN tokens > 0 THEN tilt * exp(v * (ln(tokens) - mean) / sqrt(square - mean * mean)) ELSE 0 END, 6) AS rate FROM counted c LEFT JOIN tilts USING (source), units)
+SELECT doc_id, source, tokens, rate, CAST(floor(rate + CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296) AS INTEGER) AS copies FROM rated"""
+
+
+#: For the default temperature of one half and one epoch.
+SQL = _sql()

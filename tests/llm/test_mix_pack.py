@@ -171,3 +171,20 @@ def test_packing_awkward_rows(spark):
     for docs in (d, clashing(d)):
         check_layout(packing.packed(docs).collect(), dict(want))
     assert packing.packed(empty(spark)).count() == 0
+
+
+def test_mixing_sql_says_the_same(spark):
+    duckdb = __import__("duckdb")
+    rows = [(k, prose(k, 5 + k * 7 % 200), "en", ("hot", "warm", None)[min(k % 5, 2)], 1) for k in range(200)] + [(500, None, "en", "hot", 0), (501, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = sorted((r.doc_id, r.source, r.tokens, r.rate, r.copies) for r in mixing.mixed(docs).collect())
+    want = sorted(con.execute(mixing.SQL).fetchall())
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
+def test_a_step_that_never_falls_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RIDGE", float("nan"))
+    with pytest.raises(RuntimeError, match="doesn't fall"):
+        mixing.solve(counted(spark, [("a", 5, 1), ("a", 50, 1), ("b", 7, 1)]))
