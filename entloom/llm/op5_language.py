@@ -3,8 +3,8 @@
 The network reads fixed-length windows of bytes: an embedding of each byte,
 filters of several widths, the maximum over the window, and a softmax over the
 languages and one class for what is no language.  It is trained here with numpy
-on a bounded sample of labelled documents; scoring covers every window of every
-document in batches, never a prefix.
+on all windows of a bounded sample of labelled documents; scoring covers every
+window of every document in batches, never a prefix.
 
 Filters narrower than the widest are held as wide filters with zeros, so that one
 matrix product serves all widths.
@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import bytesx as bx
+from .names import free
 from .store import small_batches
 
 WINDOW = 256
@@ -30,10 +32,11 @@ WIDEST = max(WIDTHS)
 FILTERS = sum(WIDTHS.values())
 #: At most so many documents of each language train the network, chosen by the hash of their ids.
 TRAIN_DOCS = 250
-TRAIN_WINDOWS = 3
-EPOCHS = 5
+EPOCHS = 3
 #: A document has a language if all languages together have this probability.
 MIN_SPOKEN = 0.5
+#: Documents whose best language has less than this are not accepted. 0 is off: a text in several languages has a low best one and is still text.
+MIN_CONFIDENCE = 0.0
 NONE = "und"
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -109,9 +112,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Model:
     for text, label in zip(texts, labels, strict=True):
         raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
         x, _, _ = windows(raw, np.array([0, len(raw)]))
-        take = rng.permutation(len(x))[:TRAIN_WINDOWS]
-        xs.append(x[take])
-        ys += [classes.index(label)] * len(take)
+        xs.append(x)
+        ys += [classes.index(label)] * len(x)
         if len(raw) > 40:  # short texts are known too
             cut = int(rng.integers(20, min(len(raw), WINDOW)))
             at = int(rng.integers(0, len(raw) - cut + 1))
@@ -239,8 +241,8 @@ def classify(model_b, text: Column) -> Column:
     return F.arrow_udf(run, "language string, confidence double").asNondeterministic()(text.cast("string"))
 
 
-def accepted(found: Column) -> Column:
-    return found["language"] != NONE
+def accepted(found: Column, least: float = MIN_CONFIDENCE) -> Column:
+    return (found["language"] != NONE) & (found["confidence"] >= least)
 
 
 def fitted(docs: DataFrame):
@@ -248,22 +250,30 @@ def fitted(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(train(*training_rows(docs)))
 
 
-def identify(docs: DataFrame, model_b=None) -> DataFrame:
+def identify(docs: DataFrame, model_b=None, least: float = MIN_CONFIDENCE) -> DataFrame:
     """(doc_id, language, confidence, accepted) of every row, null doc_ids and repeated rows too.
 
-    A document is accepted when it has a language; one of several languages has
-    one too.  No rows give no rows.  Other columns are not read.
+    A document is accepted when it has a language, in which it is `least` sure; one
+    of several languages has one too.  Text in a language that no label names gets
+    the name of a labelled one; without any label nothing has a language.  Null,
+    empty and letterless texts have none.  Very long texts are scored whole; a tie
+    goes to the first language by name.  No rows give no rows.  Columns but doc_id,
+    text and lang are not read, so their names don't matter.
     """
     model_b = model_b or fitted(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), classify(model_b, F.col("text")).alias("found"))
-    return rows.select("doc_id", "found.language", "found.confidence", accepted(F.col("found")).alias("accepted"))
+    return rows.select("doc_id", "found.language", "found.confidence", accepted(F.col("found"), least).alias("accepted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`docs` without the rows that have no language; the columns stay as they are."""
-    found = "__language"
+    """`docs` without the rows that :func:`identify` doesn't accept; the columns stay as they are, whatever their names.
+
+    Rows that repeat are judged alike, those without a doc_id too.  Without any
+    label in `lang` nothing is accepted and no row is left.
+    """
+    (found,) = free(docs.columns, "language")
     return docs.withColumn(found, classify(fitted(docs), F.col("text"))).filter(accepted(F.col(found))).drop(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -92,3 +92,38 @@ def test_awkward_rows(spark, model_b):
     out = op.stage(spark, clashing(d), "")
     assert out.columns == clashing(d).columns and {2, 3, 4, 11}.isdisjoint({r.doc_id for r in out.collect()})
     assert op.identify(empty(spark)).count() == 0 and op.stage(spark, empty(spark), "").count() == 0
+
+
+def test_forward_pass_matches_a_plain_convolution():
+    """Every filter at every place, of its own width only, by loops over bytes."""
+    rng = np.random.default_rng(7)
+    m = op.train([say(lang, k, 30) for lang in ("en", "fr") for k in range(3)], ["en"] * 3 + ["fr"] * 3)
+    x = rng.choice(np.frombuffer(b"abcdefgh  etaoin", np.uint8), (3, op.WINDOW))
+    got = op.log_probs(m, x)
+    filters = m.filters.reshape(op.WIDEST, op.EMBED, op.FILTERS)
+    width = [w for w, n in op.WIDTHS.items() for _ in range(n)]
+    for row, mine in zip(x, got, strict=True):
+        pooled = [max(sum(float(m.embed[row[i + j]] @ filters[j, :, f]) for j in range(width[f])) for i in range(op.WINDOW - op.WIDEST + 1)) for f in range(op.FILTERS)]
+        z = np.maximum(np.array(pooled) + m.bias, 0) @ m.out + m.out_bias
+        assert np.allclose(mine, z - np.log(np.exp(z).sum()), atol=1e-3)
+    for f, w in enumerate(width):
+        assert not filters[w:, :, f].any()
+
+
+def test_all_windows_of_a_training_text_train(monkeypatch):
+    seen = []
+    gradient = op._gradient
+    monkeypatch.setattr(op, "_gradient", lambda p, x, *a: seen.append(x) or gradient(p, x, *a))
+    text = say("en", 1, 2000)
+    op.train([text], ["en"])
+    raw = np.frombuffer(text.encode(), np.uint8)
+    windows, _, _ = op.windows(raw, np.array([0, len(raw)]))
+    rows = {r.tobytes() for x in seen for r in x}
+    assert len(windows) > 30 and all(w.tobytes() in rows for w in windows)
+
+
+def test_confidence_gate(spark, model_b):
+    df = spark.createDataFrame([(1, say("en", 1, 300) + " " + say("de", 2, 300) + " " + say("fr", 3, 300), None, None, None), (2, say("en", 4), None, None, None)], DOC)
+    assert [r.accepted for r in op.identify(df, model_b).orderBy("doc_id").collect()] == [True, True]
+    sure = {r.doc_id: (r.confidence, r.accepted) for r in op.identify(df, model_b, least=0.95).collect()}
+    assert all(accepted == (confidence >= 0.95) for confidence, accepted in sure.values())
