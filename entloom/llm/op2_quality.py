@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import bytesx as bx
 from . import gbt
 from .store import Store, small_batches
@@ -138,9 +139,11 @@ def score(stats: DataFrame, trees_b) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality, keep) of every row of `docs`, null doc_ids and repeated rows too.
 
-    Null and empty texts have statistics of zeros and are scored like any other.
-    Without labels of both kinds every score is the share of good labels (0.5
-    without any).  No rows give no rows.  Other columns are not read.
+    Null and empty texts have statistics of zeros and are scored like any other;
+    statistics are of all bytes of a text, however long, and equal texts have equal
+    scores.  Without labels of both kinds every score is the share of good labels
+    (0.5 without any).  No rows give no rows.  Columns but doc_id, text and quality
+    are not read, so their names don't matter.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,4 +153,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from . import tokens as tk
 from .store import Store
 
@@ -109,7 +110,9 @@ def packed(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     are; (context, shard, window, position) where they go; windows of one
     (context, shard, step_group) make a step.  Rows without tokens (null or empty
     text) have no piece.  Rows that repeat are packed as often as they come; null
-    doc_ids are packed too.  No rows give no rows.
+    doc_ids are packed too.  Of equal lengths the lesser doc_id goes first.  No rows
+    give no rows.  Columns but doc_id and text are not read, so their names don't
+    matter.
     """
     spark = docs.sparkSession
     store = Store(spark, "packing")
@@ -126,8 +129,9 @@ def packed(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of `docs` lies, its columns those of :func:`packed`; the last stage of the pipeline."""
     return packed(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

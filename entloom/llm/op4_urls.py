@@ -25,16 +25,18 @@ from .url_seeds import BLOCKED, labelled_urls
 TRAIN_ROWS = 20_000
 BLOCK_FROM = 0.5
 _SIGNS = "/?&=-._%"
+#: The end of a host under which names are registered; under countries often in a second label. A host of digits, or of one label, has none.
+SUFFIX = r"\.((?:(?:ac|co|com|edu|gob|gov|net|nom|or|org)\.)?[a-z]{2}|[^.]*[^.0-9][^.]*)\.?$"
 
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "fragment", "host_length", "host_labels", "host_digits", "host_entropy", "host_vowels", "path_length", *(f"n_{ord(c)}" for c in _SIGNS), *(f"host_n_{ord(c)}" for c in "-."), "suffix_share", "suffix_rate"]
 
 
 def parts(url: Column) -> dict[str, Column]:
-    """Lower-cased host, path and suffix (last two labels of the host's registered end)."""
+    """Lower-cased URL, host, path, and suffix: the host's last label, or last two where names are registered under those (co.uk)."""
     u = F.lower(F.trim(url.cast("string")))
     rest = F.regexp_replace(u, r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_extract(rest, r"^([^/?#]*)", 1), r"^[^@]*@|:[0-9]*$", "")
-    return {"url": u, "host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "suffix": F.substring_index(host, ".", -1)}
+    return {"url": u, "host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "suffix": F.regexp_extract(host, SUFFIX, 1)}
 
 
 def lexical(url: pa.Array, host: pa.Array, path: pa.Array, suffix: pa.Array, known: dict[str, tuple[float, float]]) -> np.ndarray:
@@ -90,8 +92,10 @@ def score(pages: DataFrame, model_b) -> DataFrame:
     """(page_id, url, score, blocked) of every row.
 
     A null or empty URL is blocked with score 1: nothing can be fetched from it.
-    So is a URL of a listed site, whatever the trees say.
-    Rows that repeat, and null page_ids, are carried as they are.
+    So is a URL of a listed site, whatever the trees say.  Rows that repeat, and
+    null page_ids, are carried as they are; URLs of any length are read whole.  No
+    rows give no rows.  Columns but page_id and url are not read, so their names
+    don't matter.
     """
 
     def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -115,7 +119,7 @@ def seed_labels(pages: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Scores of all pages by trees trained on `labelled`; see :func:`train` and :func:`score`."""
+    """Scores of all pages by trees trained on `labelled`, a table (url, label) of any labelled URLs; see :func:`train` and :func:`score`."""
     spark = pages.sparkSession
     small_batches(spark)
     return score(pages, spark.sparkContext.broadcast(train(labelled)))

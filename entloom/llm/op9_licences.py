@@ -16,6 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
 from .licences import DIGESTS, ENTIRE, KNOWN
 
 _SIGNS = r"[^\p{L}\p{M}\p{N}]+"
@@ -72,13 +73,8 @@ def canonical(text: Column) -> Column:
 
 @functools.cache
 def digests() -> dict[str, str]:
-    """Licence of each digest that the SQL knows too."""
-    return DIGESTS | {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN}
-
-
-def all_digests() -> dict[str, str]:
     """Licence of each known digest."""
-    return digests() | ENTIRE
+    return DIGESTS | {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in KNOWN} | ENTIRE
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -91,12 +87,14 @@ def scan(docs: DataFrame) -> DataFrame:
     `notices` are the licences that lines of it name, sorted, joined by commas, ''
     if none.  A null text has a null digest and no notices; an empty text, or one
     of punctuation or copyright statements alone, has the digest of the empty text,
-    which is no licence.  No rows give no rows.  Other columns are not read.
+    which is no licence.  Texts and lines of any length are taken whole; rows that
+    repeat are looked up alike.  No rows give no rows.  Other columns are not read,
+    so their names don't matter.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(list(all_digests().items()), "digest string, license string")
+    known = spark.createDataFrame(list(digests().items()), "digest string, license string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_digest = F.create_map(*[F.lit(x) for kv in all_digests().items() for x in kv])
+    by_digest = F.create_map(*[F.lit(x) for kv in digests().items() for x in kv])
     lines = F.filter(F.split("text", "[\r\n]+"), lambda x: F.lower(x).contains("licen"))
     found = F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256)))
     notices = F.when(F.col("text").contains("icen") | F.col("text").contains("ICEN"), F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")).otherwise("")
@@ -105,11 +103,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _sql() -> str:
-    """The scan in SQL, but for three limits: it lacks the digests of ENTIRE, takes out any line that begins with 'copyright', and skips notices in lines over 400 characters."""
+    """The scan in SQL, but for one limit: RE2 can't look around, so any line that begins with 'copyright' is taken out whole."""
 
     def canon(x: str) -> str:
         t = f"regexp_replace(lower({x}), '{_COPYRIGHT}', '', 'g')"
@@ -123,7 +121,7 @@ def _sql() -> str:
 docs AS (SELECT doc_id, text, sha256({canon('text')}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split_regex(text, '[\\r\\n]+')) AS line FROM documents WHERE regexp_matches(text, 'icen|ICEN')),
 named AS (SELECT DISTINCT l.doc_id, k.license FROM lines l JOIN known k ON sha256({canon('l.line')}) = k.digest
-    WHERE contains(lower(l.line), 'licen') AND length(l.line) <= 400),
+    WHERE contains(lower(l.line), 'licen')),
 notices AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM named GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices
 FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN notices n USING (doc_id)"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": op1_secrets.SQL,
+    "op6_minhash_near_dedup": op6_neardup.SQL,
+    "op7_mixing": op7_mixing.SQL,
     "op8_quality_rules": op8_rules.SQL,
     "op9_license_scan": op9_licences.SQL,
 }

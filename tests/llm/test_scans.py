@@ -187,3 +187,78 @@ def test_media_query_rows(spark):
     assert media.described(media.rendered(more)).count() == 7
     assert media.described(more, "page_id", "image").filter("error = 'no signature'").count() == 7
     assert media.described(media.rendered(p.limit(0))).count() == 0
+
+
+def plain_hash(image):
+    """Means of 32 x 32 fields by sampling, and the cosine transform by its definition."""
+    h, w = image.shape
+    fine = np.repeat(np.repeat(image, 32, axis=0), 32, axis=1)  # every field's edge falls between samples
+    small = fine.reshape(32, h, 32, w).mean(axis=(1, 3))
+    low = np.array([[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)])
+    flat = np.round(low, 6).ravel()
+    bits = [b and k > 0 for k, b in enumerate(flat > np.median(flat[1:]))]
+    return int("".join("01"[bool(b)] for b in bits), 2)
+
+
+@pytest.mark.parametrize("shape", [(9, 5), (32, 32), (40, 70)])
+def test_hash_matches_a_plain_cosine_transform(shape):
+    image = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(float)
+    assert media.perceptual_hash(image) & (2**64 - 1) == plain_hash(image)
+
+
+def interlace(image, depth=8):
+    """An Adam7 PNG of an 8-bit gray picture, filters in turn, by the standard's pattern of 8 x 8 pixels."""
+    import struct
+    import zlib
+
+    pattern = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]
+    passes = np.array([[int(c) for c in row] for row in pattern])
+    h, w = image.shape
+    number = np.tile(passes, (h // 8 + 1, w // 8 + 1))[:h, :w]
+    raw = b""
+    for k in range(1, 8):
+        rows = [image[y][number[y] == k] for y in range(h) if (number[y] == k).any()]
+        above = None
+        for i, row in enumerate(rows):
+            kind = (0, 1, 2)[i % 3]
+            left, up = np.concatenate([[0], row[:-1]]), np.zeros(len(row), int) if above is None else above
+            raw += bytes([kind]) + ((row.astype(int) - (0, left, up)[kind]) & 255).astype(np.uint8).tobytes()
+            above = row.astype(int)
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 2), (8, 8), (37, 45)])
+def test_interlaced_images_have_the_hash_of_plain_ones(shape):
+    image = np.random.default_rng(shape[1]).integers(0, 256, shape).astype(np.uint8)
+    assert media.decode([interlace(image)]) == media.decode([media.encode(image)])
+
+
+def test_large_images_go_in_bands(monkeypatch):
+    image = np.random.default_rng(3).integers(0, 256, (301, 70)).astype(np.uint8)
+    png = media.encode(image)
+    whole = media.decode([png])
+    monkeypatch.setattr(media, "BAND_BYTES", 700)
+    assert media.decode([png]) == whole
+    wide = media.encode(np.tile(image[:2], (1, 1000)))  # a row is more than a band
+    assert media.decode([wide])[0][:2] == (70_000, 2)
+    assert media.decode([png[:33] + png[-12:]]) == [(None, None, None, "bad pixel data")]  # no pixel data at all
+
+
+def test_an_image_beyond_the_old_limit():
+    import struct
+    import zlib
+
+    w, h = 70_000, 1_000  # 2**26 pixels and more, of two stripes
+    engine = zlib.compressobj(1)
+    z = b"".join(engine.compress(b"\0" + bytes([255 * (y >= 500)]) * w) for y in range(h)) + engine.flush()
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    png = media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", z) + chunk(b"IEND", b"")
+    small = np.repeat([[0.0], [255.0]], 16, axis=0).repeat(32, axis=1)
+    assert media.decode([png]) == [(w, h, media.perceptual_hash(small), None)]
+
+
+def test_licence_lines_of_any_length(spark):
+    for line in ("Licensed under the MIT License." + " " * 600, "#" * 500 + " Licensed under the MIT License."):
+        d = spark.createDataFrame([(1, f"words before\n{line}\nwords after", None, None, None)], DOC)
+        assert lic.scan(d).first().notices == "MIT" and duck(d, lic.SQL)[0][3] == "MIT"

@@ -107,7 +107,46 @@ def test_urls_on_held_out_hosts(spark):
 
 def test_url_parts(spark):
     row = pages(spark, [(1, "HTTPS://user@WWW.Ex.example.co.uk:80/a/b?x=1&y=2#f", "")]).select(*(c.alias(k) for k, c in urls.parts(F.col("url")).items())).first()
-    assert (row.host, row.path, row.suffix) == ("www.ex.example.co.uk", "/a/b", "uk")
+    assert (row.host, row.path, row.suffix) == ("www.ex.example.co.uk", "/a/b", "co.uk")
+    hosts = {"a.example.com": "com", "example.org.": "org", "x.y.de": "de", "a.com.au": "com.au", "com.au": "au", "localhost": "", "10.0.0.1": "", "x.museum": "museum", "": ""}
+    got = pages(spark, [(k, f"http://{h}/p", "") for k, h in enumerate(hosts)]).select("page_id", urls.parts(F.col("url"))["suffix"]).orderBy("page_id").collect()
+    assert [r[1] for r in got] == list(hosts.values())
+
+
+def plain_lexical(url, known):
+    """The features of one URL, by Python's own string functions."""
+    from collections import Counter
+    from math import log2
+
+    url = url.strip(" ").lower()
+    rest = url.split("://", 1)[1] if "://" in url else url
+    cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    host, path = rest[:cut].split("@")[-1].split(":")[0], rest[cut:].split("?")[0].split("#")[0]
+    labels = host.split(".")
+    second = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in "ac co com edu gob gov net nom or org".split()
+    suffix = (".".join(labels[-2:]) if second else labels[-1]) if len(labels) > 1 and not labels[-1].isdigit() else ""
+    entropy = lambda t: -sum(n / len(t) * log2(n / len(t)) for n in Counter(t).values()) if t else 0
+    digits = lambda t: sum(c.isdigit() for c in t)
+    share, rate = known.get(suffix, (0.0, known[""][1]))
+    return [
+        len(url), path.count("/"), digits(url) / max(len(url), 1), entropy(url), url.count("="), "#" in url, len(host), host.count(".") + bool(host), digits(host), entropy(host), sum(host.count(v) for v in "aeiou") / max(len(host), 1), len(path),
+        *(url.count(c) for c in "/?&=-._%"), *(host.count(c) for c in "-."), share, rate,
+    ]
+
+
+def test_lexical_features_match_a_plain_version(spark):
+    found = ["http://www.garden.example.com/en/12?a=1&b=2#top", "https://u:p@cheap-pills.example.co.uk:8080/x//y.html", "HTTP://10.0.0.1/?q=%20", "localhost", "x.de", "https://a.b.c.example.museum/" + "9" * 300, "//odd?x#y"]
+    ends = ["com", "com", "org", "co.uk", "de", "com"]
+    y = np.array([0, 1, 0, 1, 0, 0])
+    known = urls.suffix_statistics(ends, y)
+    for s in set(ends):
+        at = [k for k, x in enumerate(ends) if x == s]
+        assert known[s] == pytest.approx((len(at) / 6, (sum(y[at]) + 20 * 2 / 6) / (len(at) + 20)))
+    assert known[""] == pytest.approx((0, 2 / 6))
+    rows = pages(spark, [(k, u, "") for k, u in enumerate(found)]).select("page_id", *(c.alias(k) for k, c in urls.parts(F.col("url")).items())).orderBy("page_id").toArrow()
+    got = urls.lexical(*(rows[k].combine_chunks() for k in ("url", "host", "path", "suffix")), known)
+    assert got.shape[1] == len(urls.FEATURES)
+    assert np.allclose(got, np.array([plain_lexical(u, known) for u in found], dtype=np.float32), atol=1e-4)
 
 
 def test_url_awkward_rows(spark):
