@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 _W = r"\p{L}\p{N}_"
 _SPACE = r"\s\x{1c}-\x{1f}"
 TOKEN = rf"[{_W}](?:[{_W}'\-’]*[{_W}])?|[^{_SPACE}]"
-#: Tokens and the blanks between them: every character of a text is in exactly one match.
-TILES = rf"(?U){TOKEN}|[{_SPACE}]+"
-#: What of a token stands before a place, and after it: from its first letter or digit, up to its last.
-WORD_BEFORE = rf"([{_W}][{_W}'\-’]*)\z"
-WORD_AFTER = rf"^([{_W}'\-’]*[{_W}])"
 _EDGES = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$"
 
 
@@ -21,17 +16,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of the elements before each one, and of all at the end."""
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(lengths, seed, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: F.concat(a["all"], F.array(a["at"])))
+_BLOCK = 128
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array(struct(start, end, text)) of the matches of a pattern, from left to right.
 
     Offsets come from the lengths of the matches and of what is between them, so no
-    Python is needed.
+    Python is needed.  Running sums are taken in blocks, then over blocks: a sum over
+    all matches at once copies its array with every match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -41,9 +34,20 @@ def spans(text: Column, pattern: str) -> Column:
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + p["gap"]
         span = F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["m"].alias("text"))
-        return F.struct((start + p["n"]).alias("at"), F.concat(a["all"], F.array(span)).alias("all"))
+        return F.struct((start + p["n"]).alias("at"), F.array_append(a["all"], span).alias("all"))
 
-    return F.aggregate(pairs, seed, step, lambda a: a["all"])
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(p), F.lit(_BLOCK)), lambda lo: F.aggregate(F.slice(p, lo, _BLOCK), seed, step))
+
+    def joined(b: Column) -> Column:
+        ahead = F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["at"]))
+        shifted = lambda at: lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["text"].alias("text"))
+        moved = F.transform(F.array(ahead), lambda a: F.transform(b, lambda x, i: F.transform(x["all"], shifted(F.get(a, i)))))
+        return F.flatten(F.get(moved, F.lit(0)))
+
+    # arrays of one, so that what is used twice is computed once
+    once = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > _BLOCK, F.get(F.transform(F.array(blocks(p)), joined), F.lit(0))).otherwise(F.aggregate(p, seed, step)["all"]))
+    return F.get(once, F.lit(0))
 
 
 def token_count(text: Column) -> Column:

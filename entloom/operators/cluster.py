@@ -104,14 +104,18 @@ def resolve(rows: DataFrame, tiebreaker: TieBreaker | None = None, docs: DataFra
     return Resolution(inside.unionByName(single), clusters, candidates)
 
 
-def candidate_rows(outside: DataFrame, docs: DataFrame | None, most: int = 3, half: int = 60) -> DataFrame:
-    """Borderline entities with contexts, for the tie-breaker."""
+def with_contexts(rows: DataFrame, docs: DataFrame | None, most: int = 3, half: int = 60) -> DataFrame:
+    """`contexts`: windows around an entity's first mentions, for a tie-breaker; none without documents or mentions."""
     empty = F.array().cast("array<string>")
-    if docs is not None and "mentions" in outside.columns:
-        body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__body"))
-        outside = outside.join(body, "doc_id", "left").withColumn("contexts", F.coalesce(contexts(F.col("mentions"), F.col("__body"), most, half), empty))
-    else:
-        outside = outside.withColumn("contexts", empty)
+    if docs is None or "mentions" not in rows.columns:
+        return rows.withColumn("contexts", empty)
+    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__body"))
+    return rows.join(body, "doc_id", "left").withColumn("contexts", F.coalesce(contexts(F.col("mentions"), F.col("__body"), most, half), empty)).drop("__body")
+
+
+def candidate_rows(outside: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """Borderline entities with contexts, for the tie-breaker."""
+    outside = with_contexts(outside, docs)
     return outside.select("doc_id", "entity_id", "type", "canonical", "contexts", "nearest_cluster_id", "nearest_canonical", F.col("first_similarity").alias("nearest_similarity"))
 
 

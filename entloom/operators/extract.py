@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..backends import Extractor
-from ..functions import ids, text
+from ..functions import ids, text, tokens
 from ..schema import EntitySchema, EntityType
 
 
@@ -33,6 +34,14 @@ RULES = (
     Rule("ProperName", r"[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]+", 0.45),
 )
 
+#: Guesses at the types of the default schema, for runs without a model: by form and by the words beside.
+NAME_RULES = (
+    Rule("Organization", r"\b(?:[A-Z][\w&.-]* )+(?:Inc|Ltd|LLC|Corp|Corporation|Company|GmbH|AG|University|Institute|Association|Agency|Bank|Party|Society|Council|Ministry|Group)\b", 0.8),
+    Rule("Organization", r"\b(?:University|Institute|Ministry|Bank|Bureau|Department) of (?:[A-Z]\w+ ?)+\b", 0.8),
+    Rule("Location", r"(?<=\b(?:in|at|from|near|to|of) )(?:(?:the )?(?:North|South|East|West|New|San|Saint) )?[A-Z][a-z]+\b(?! [A-Z])", 0.6),
+    Rule("Person", r"\b(?<!\b(?:University|Institute|Ministry|Bank) of )[A-Z][a-z]+ (?:[A-Z]\. )?(?:van |von |de )?[A-Z][a-z]+\b(?! (?:Inc|Ltd|LLC|Corp|GmbH|University|Institute|Association|Agency|Bank|Society|Council|Ministry|Group))", 0.6),
+)
+
 
 def extract_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, start, end, text, label, score, source) of all rules' matches, in one pass over the documents."""
@@ -48,19 +57,30 @@ def extract_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return rows.select("doc_id", "m.*", F.lit("regex").alias("source"))
 
 
+#: First tokens of names are sent to all executors up to this many names; beyond it every stretch of tokens goes to the join.
+SENT_NAMES = 1_000_000
+
+
 def extract_gazetteer(docs: DataFrame, names: DataFrame, score: float = 1.0) -> DataFrame:
     """Mentions of the names of a table (label, name) that begin and end with a token.
 
-    Tokens are joined to the names' first tokens, and only the places that this
-    leaves are compared with their document, so both tables may be large.
+    A name's tokens are the same wherever it stands as whole tokens.  So each text's
+    stretches of as many tokens as names have, made where the text is, are joined to
+    the names themselves; no text is moved.
     """
-    listed = names.select("label", "name", F.regexp_extract("name", "(?U)^(?:" + text.TOKEN + ")", 0).alias("token")).filter("token <> ''")
-    tokens = token_offsets(docs)
-    places = tokens.join(listed, "token").select("doc_id", "start", "label", "name", (F.col("start") + F.length("name")).alias("end"))
-    places = places.join(tokens.select("doc_id", "end"), ["doc_id", "end"], "left_semi")
-    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body"))
-    found = places.join(body, "doc_id").filter("substring(body, start + 1, length(name)) = name")
-    return found.select("doc_id", "start", "end", F.col("name").alias("text"), "label", F.lit(score).alias("score"), F.lit("regex").alias("source"))
+    listed = names.select("label", "name", F.regexp_extract("name", "(?U)^(?:" + text.TOKEN + ")", 0).alias("token"), text.token_count(F.col("name")).alias("n")).filter("token <> ''")
+    sizes = sorted(r.n for r in listed.select("n").distinct().collect())
+    few = listed.select("token").distinct().limit(SENT_NAMES + 1).toArrow()["token"].combine_chunks() if sizes else pa.array([], pa.string())
+    openers = docs.sparkSession.sparkContext.broadcast(few if len(few) <= SENT_NAMES else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, gram = tokens.grams(batch.column(1), sizes, openers.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), gram], ["doc_id", "start", "end", "text"])
+
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, start int, end int, text string")
+    found = found.join(listed.select("label", F.col("name").alias("text")), "text")
+    return found.select("doc_id", "start", "end", "text", "label", F.lit(score).alias("score"), F.lit("regex").alias("source"))
 
 
 def extract_with(docs: DataFrame, schema: EntitySchema, backend: Extractor, source: str = "gliner") -> DataFrame:
@@ -93,48 +113,35 @@ def unknown_labels(raw: DataFrame, schema: EntitySchema, template: str = "{name}
 
 
 def token_offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, token) of every token, in document order.
+    """(doc_id, start, end, token) of every token, found where the text is: nothing is shuffled."""
 
-    The pattern tiles the text, so offsets are running sums of lengths.
-    """
-    tiles = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit(text.TILES), F.lit(0))).alias("k", "token"))
-    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("token")).over(w).cast("int")
-    placed = tiles.select("doc_id", "token", end.alias("end"))
-    blank = F.rlike("token", F.lit(r"(?U)^[\s\x{1c}-\x{1f}]"))
-    return placed.filter(~blank).select("doc_id", (F.col("end") - F.length("token")).alias("start"), "end", "token")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, token = tokens.offsets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), token], ["doc_id", "start", "end", "token"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id string, start int, end int, token string")
 
 
 def snap(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Spans widened to the tokens that their ends cut, then trimmed of white space.
 
-    A place is inside a token if what a word is made of goes on to both of its
-    sides, so only the places themselves are looked at and no text is taken apart
-    into tokens.  Spans out of the text's bounds, or empty, stay as they are.
-    `spans` has (doc_id, start, end) and any more columns; `text` is set to what is
-    covered.
+    The spans of a document are one row, so its text is joined and taken into tokens
+    once, however many they are.  Spans out of the text's bounds, or empty, stay as
+    they are.  `spans` has (doc_id, start, end) and any more columns; `text` is set
+    to what is covered.
     """
-    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("__body"))
-    df = spans.drop("text").join(body, "doc_id")
-    valid = (F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.length("__body"))
-
-    def sides(at: str) -> tuple[Column, Column]:
-        """Characters of the token before and after a place; 0 if it isn't inside one."""
-        before = F.length(F.regexp_extract(F.substring(F.col("__body"), F.lit(1), F.col(at)), text.WORD_BEFORE, 1))
-        after = F.length(F.regexp_extract(F.substring(F.col("__body"), F.col(at) + 1, F.length("__body")), text.WORD_AFTER, 1))
-        inside = (before > 0) & (after > 0)
-        return F.when(inside, before).otherwise(0), F.when(inside, after).otherwise(0)
-
-    df = df.withColumn("__s", F.when(valid, F.col("start") - sides("start")[0]).otherwise(F.col("start"))).withColumn("__e", F.when(valid, F.col("end") + sides("end")[1]).otherwise(F.col("end")))
-    piece = F.expr("substring(__body, __s + 1, __e - __s)")
-    blanks = r"(?U)^[\s\x{1c}-\x{1f}]*"
-    lead = F.length(F.regexp_extract(piece, blanks, 0))
-    kept = F.length(text.strip(piece))
-    start = F.when(valid, F.col("__s") + lead).otherwise(F.col("__s"))
-    end = F.when(valid, F.col("__s") + lead + kept).otherwise(F.col("__e"))
     others = [c for c in spans.columns if c not in ("doc_id", "start", "end", "text")]
-    df = df.select("doc_id", start.cast("int").alias("start"), end.cast("int").alias("end"), *others, "__body")
-    return df.withColumn("text", F.expr("CASE WHEN start >= 0 AND end > start THEN substring(__body, start + 1, end - start) ELSE '' END")).drop("__body")
+    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body"))
+    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", *others)).alias("ms")).join(body, "doc_id")
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield tokens.snapped(*batch)
+
+    placed = F.arrow_udf(run, "array<struct<start:int,end:int,text:string>>").asNondeterministic()("body", "ms.start", "ms.end")
+    rows = grouped.select("doc_id", "ms", placed.alias("placed")).select("doc_id", F.explode(F.arrays_zip("placed", "ms")).alias("x"))
+    return rows.select("doc_id", "x.placed.start", "x.placed.end", *[F.col("x.ms").getField(c).alias(c) for c in others], "x.placed.text")
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -149,8 +156,12 @@ def select_spans(mentions: DataFrame) -> DataFrame:
     """
     rest = [c for c in mentions.columns if c not in ("doc_id", "type")]
     others = [c for c in rest if c not in ("start", "end", "score", "metadata")]
+    # spans of different stretches of overlapping ones have nothing to do with each other
+    w = Window.partitionBy("doc_id", "type").orderBy("start", "end")
+    ahead = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = mentions.withColumn("__apart", (F.col("start") >= ahead).cast("int")).withColumn("__stretch", F.coalesce(F.sum("__apart").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     key = F.struct((-F.col("score")).alias("k1"), F.col("start").alias("k2"), (F.col("start") - F.col("end")).alias("k3"), *[F.col(c).alias(f"k_{c}") for c in others], F.struct(*rest).alias("row"))
-    groups = mentions.groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(key)).alias("ranked"))
+    groups = apart.groupBy("doc_id", "type", "__stretch").agg(F.array_sort(F.collect_list(key)).alias("ranked"))
     row = mentions.select(F.array(F.struct(*rest)).alias("x")).schema["x"].dataType.simpleString()
     kept = F.aggregate("ranked", F.array().cast(row), lambda acc, r: F.when(F.exists(acc, lambda x: overlaps(x, r["row"])), acc).otherwise(F.array_append(acc, r["row"])))
     return groups.select("doc_id", "type", F.explode(kept).alias("m")).select("doc_id", "type", "m.*").select(*mentions.columns)

@@ -19,7 +19,7 @@ from ..backends import TieBreaker, checked_merges
 from ..functions.vectors import FLOOR
 from ..store import Store
 from .centroids import update_centroids
-from .cluster import BORDERLINE, MERGE, apply_assignments, numbered
+from .cluster import BORDERLINE, MERGE, apply_assignments, numbered, with_contexts
 
 _OUT = "doc_id string, entity_id string, cluster_id string, top_similarity double, second_similarity double, source string, is_new boolean, new_canonical string, centroid array<double>, size int"
 
@@ -46,38 +46,49 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.sqrt(v @ v)), FLOOR)
 
 
+def _listed(values) -> list:
+    return [] if values is None else list(values)
+
+
 def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | None, merge: float, borderline: float) -> list[dict]:
     """Assignments of the new entities of one type, in their order."""
     old_ids = [c["cluster_id"] for c in old]
     old_m = np.array([c["centroid"] for c in old], dtype=np.float64)
     taken = set(old_ids)
     fresh: dict[str, dict] = {}
+    made: list[str] = []  # ids of the new clusters, in order; their centroids are the first rows of new_m
+    new_m = np.zeros((64, len(new[0]["vector"]) if new else 0))
     out: list[dict] = []
     waiting: list[dict] = []
 
     def register(e: dict, v: np.ndarray) -> str:
+        nonlocal new_m
         cid = new_cluster_id(kind, e["canonical"], e["doc_id"], taken)
         taken.add(cid)
-        fresh[cid] = {"sum": v.copy(), "centroid": v.copy(), "n": 1, "canonical": e["surface_canonical"], "members": [len(out)]}
+        fresh[cid] = {"centroid": v, "n": 1, "canonical": e["surface_canonical"], "members": [len(out)]}
+        if len(made) == len(new_m):
+            new_m = np.concatenate([new_m, np.zeros_like(new_m)])
+        new_m[len(made)] = v
+        made.append(cid)
         return cid
 
     for e in new:
         v = np.asarray(e["vector"], dtype=np.float64)
         old_s = old_m @ v if len(old_m) else np.zeros(0)
-        ids = list(fresh)
-        new_s = np.array([fresh[c]["centroid"] @ v for c in ids])
-        every = np.sort(np.concatenate([old_s, new_s]))[::-1]
-        second = float(every[1]) if len(every) > 1 else 0.0
+        new_s = new_m[: len(made)] @ v
+        every = np.concatenate([old_s, new_s])
+        second = float(np.partition(every, len(every) - 2)[-2]) if len(every) > 1 else 0.0
         best_old = float(old_s.max()) if len(old_s) else -1.0
         best_new = float(new_s.max()) if len(new_s) else -1.0
         row = {"doc_id": e["doc_id"], "entity_id": e["entity_id"], "top_similarity": 1.0, "second_similarity": second, "source": "singleton", "vector": v, "surface": e["surface_canonical"]}
         if len(old_s) and best_old >= merge and best_old >= best_new:
             row |= {"cluster_id": old_ids[int(old_s.argmax())], "top_similarity": best_old, "source": "threshold"}
         elif len(new_s) and best_new >= merge:
-            cid = ids[int(new_s.argmax())]
+            at = int(new_s.argmax())
+            cid = made[at]
             c = fresh[cid]
             # the running mean of unit vectors, kept at unit length
-            c["centroid"] = _unit((c["centroid"] * c["n"] + v) / (c["n"] + 1))
+            c["centroid"] = new_m[at] = _unit((c["centroid"] * c["n"] + v) / (c["n"] + 1))
             c["n"] += 1
             c["members"].append(len(out))
             if len(e["surface_canonical"]) > len(c["canonical"]):
@@ -92,7 +103,7 @@ def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | N
 
     if waiting:
         names = {c["cluster_id"]: c["canonical"] for c in old}
-        asked = [{"entity_id": f"{w['entity']['doc_id']}/{w['entity']['entity_id']}", "type": kind, "canonical": w["entity"]["canonical"], "contexts": list(w["entity"].get("contexts") or []), "nearest_cluster_id": w["nearest"], "nearest_similarity": w["similarity"]} for w in waiting]
+        asked = [{"entity_id": f"{w['entity']['doc_id']}/{w['entity']['entity_id']}", "type": kind, "canonical": w["entity"]["canonical"], "contexts": _listed(w["entity"].get("contexts")), "nearest_cluster_id": w["nearest"], "nearest_similarity": w["similarity"]} for w in waiting]
         by_ref = {a["entity_id"]: w for a, w in zip(asked, waiting, strict=True)}
         for m in checked_merges(tiebreaker.decide(asked, {w["nearest"]: names[w["nearest"]] for w in waiting}), list(by_ref), names):
             w = by_ref[m.entity_id]
@@ -132,16 +143,18 @@ def assign(new: DataFrame, centroids: DataFrame, registry: DataFrame, tiebreaker
     return rows.groupBy("type").cogroup(known.groupBy("type")).applyInPandas(run, _OUT)
 
 
-def resolve_incremental(new: DataFrame, registry: DataFrame, centroids: DataFrame, embedder_id: str, tiebreaker: TieBreaker | None = None, merge: float = MERGE, borderline: float = BORDERLINE) -> Incremental:
+def resolve_incremental(new: DataFrame, registry: DataFrame, centroids: DataFrame, embedder_id: str, tiebreaker: TieBreaker | None = None, merge: float = MERGE, borderline: float = BORDERLINE, docs: DataFrame | None = None) -> Incremental:
     """New entities placed; the merged registry; the updated centroids.
 
-    Centroids of another embedder are an error.
+    Given the documents, a tie-breaker gets the contexts of the entities' first
+    mentions.  Centroids of another embedder are an error.
     """
     other = [r.embedder_id for r in centroids.select("embedder_id").distinct().collect() if r.embedder_id != embedder_id]
     if other:
         raise ValueError(f"centroids are of embedder {other[0]}, vectors of {embedder_id}")
     store = Store(new.sparkSession, "incremental")
-    found = store.keep(assign(new, centroids, registry, tiebreaker, merge, borderline), "assignments")
+    asked = with_contexts(new, docs) if tiebreaker is not None else new
+    found = store.keep(assign(asked, centroids, registry, tiebreaker, merge, borderline), "assignments")
     entities = store.keep(apply_assignments(new, found), "entities")
 
     grown = numbered(entities.join(found.filter("not is_new").select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_semi"))

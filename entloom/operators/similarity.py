@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: Blocks whose best two are merged at a time.
+_PARTS = 64
 
 
 def _blocks(df: DataFrame, kind: str, node: str) -> DataFrame:
@@ -96,8 +98,11 @@ def best_two(left: DataFrame, right: DataFrame, kind: str = "type") -> DataFrame
                 out.append((names[part[ok]], names[j[k[ok]]], best[ok]))
                 s[np.arange(len(part)), k] = -np.inf
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([], [], [])
-        return pa.table({"node": pa.array(list(a), pa.string()), "target": pa.array(list(b), pa.string()), "s": pa.array(c, pa.float64())})
+        return pa.table({"node": pa.array(list(a), pa.string()), "target": pa.array(list(b), pa.string()), "s": pa.array(c, pa.float64()), "part": pa.array([table["bj"][0].as_py() // _PARTS] * len(a), pa.int32())})
 
-    found = dealt(lefts, n_right, True).union(dealt(rights, n_left, False)).groupBy(kind, "bi", "bj").applyInArrow(block, "node string, target string, s double")
-    ranked = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "target", "s"))), 1, 2).alias("top"))
+    found = dealt(lefts, n_right, True).union(dealt(rights, n_left, False)).groupBy(kind, "bi", "bj").applyInArrow(block, "node string, target string, s double, part int")
+    # the best two of some blocks each, then of all: no node's list grows with the number of blocks
+    two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("k"), "target", "s"))), 1, 2).alias("top")
+    some = found.groupBy("node", "part").agg(two).select("node", F.explode("top").alias("t")).select("node", "t.target", "t.s")
+    ranked = some.groupBy("node").agg(two)
     return ranked.select("node", F.get("top", F.lit(0))["target"].alias("first"), F.get("top", F.lit(0))["s"].alias("first_similarity"), F.get("top", F.lit(1))["s"].alias("second_similarity"))

@@ -121,11 +121,12 @@ FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.type < b.type AND a
     "span_invariant_violations": _with(MENTIONS, 'SELECT m.doc_id, id, start, "end" FROM mentions m JOIN docs d USING (doc_id) WHERE substring(d.text, start + 1, "end" - start) <> m.text'),
     "span_invariant_violations_seeded": _with(MENTIONS, """, moved AS (SELECT doc_id, id, CAST(start + (start % 2 = 0)::INT AS INTEGER) AS start, CAST("end" + (start % 2 = 0)::INT AS INTEGER) AS "end", text AS t FROM mentions)
 SELECT m.doc_id, id, start, "end" FROM moved m JOIN docs d USING (doc_id) WHERE "end" > length(d.text) OR substring(d.text, start + 1, "end" - start) <> t"""),
-    "gazetteer_mentions": _with(MENTIONS + ", " + TILES, rf""", names AS (SELECT DISTINCT type AS label, text AS name FROM mentions WHERE type = 'ProperName'),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM tokens),
-grams AS (SELECT a.doc_id, a.start, b."end" FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + (SELECT max(len(regexp_extract_all(name, '{_TOKEN}'))) FROM names) - 1)
-SELECT g.doc_id, g.start, g."end", n.name AS text, n.label FROM grams g JOIN docs d USING (doc_id) JOIN names n ON substring(d.text, g.start + 1, g."end" - g.start) = n.name"""),
+    "gazetteer_mentions": _with(MENTIONS + ", " + TILES, rf""", names AS (SELECT DISTINCT type AS label, text AS name, regexp_extract(text, '^(?:{_TOKEN})') AS token FROM mentions WHERE type = 'ProperName'),
+spots AS (SELECT t.doc_id, t.start, CAST(t.start + length(n.name) AS INTEGER) AS "end", n.name, n.label FROM tokens t JOIN names n ON t.token = n.token)
+SELECT p.doc_id, p.start, p."end", p.name AS text, p.label FROM spots p JOIN docs d USING (doc_id) SEMI JOIN tokens t ON t.doc_id = p.doc_id AND t."end" = p."end" WHERE substring(d.text, p.start + 1, length(p.name)) = p.name"""),
     "coref_entities": _with(ENTITIES, "SELECT doc_id, entity_id, type, canonical, CAST(n_mentions AS INTEGER) AS n_mentions, first_start FROM entities"),
+    "coref_client": _with(ENTITIES, """SELECT doc_id, type, arg_max(text, 1000000000 * length(text) - start) AS canonical, 0.9::DOUBLE AS confidence, CAST(count(*) AS INTEGER) AS n_mentions
+FROM single GROUP BY doc_id, type, lower(regexp_extract(text, '\\S+'))"""),
     "surface_canonical": _with(ENTITIES, "SELECT doc_id, entity_id, canonical AS surface_canonical FROM entities"),
     "within_doc_conf": _with(ENTITIES, "SELECT doc_id, entity_id, round(confidence, 6) AS confidence FROM entities"),
     "partition_violations": _with(ENTITIES, f""", part AS (SELECT * FROM entities WHERE type <> 'License')
@@ -136,6 +137,12 @@ UNION SELECT doc_id, type, 'type' FROM part WHERE type NOT IN ({_NAMES})"""),
     "entity_repr": _with(ENTITIES, f""", firsts AS (SELECT doc_id, entity_id, canonical, unnest(spans[1:2]) AS m, generate_subscripts(spans[1:2], 1) AS i FROM entities),
 ctx AS (SELECT f.doc_id, entity_id, canonical, i, {_context(80, 'f.m.s', 'f.m.e')} AS c FROM firsts f JOIN docs d USING (doc_id))
 SELECT doc_id, entity_id, canonical || coalesce(string_agg(' | ' || c, '' ORDER BY i) FILTER (c <> ''), '') AS repr FROM ctx GROUP BY doc_id, entity_id, canonical"""),
+    "embedded_entities": _with(ENTITIES, f""", firsts AS (SELECT doc_id, entity_id, canonical, unnest(spans[1:2]) AS m, generate_subscripts(spans[1:2], 1) AS i FROM entities),
+ctx AS (SELECT f.doc_id, entity_id, canonical, i, {_context(80, 'f.m.s', 'f.m.e')} AS c FROM firsts f JOIN docs d USING (doc_id)),
+said AS (SELECT doc_id, entity_id, ' ' || lower(canonical || coalesce(string_agg(' | ' || c, '' ORDER BY i) FILTER (c <> ''), '')) || ' ' AS t FROM ctx GROUP BY doc_id, entity_id, canonical),
+grams AS (SELECT doc_id, entity_id, md5(substr(t, CAST(unnest(range(1, greatest(2, length(t) - 1))) AS INTEGER), 3)) AS h FROM said),
+slots AS (SELECT doc_id, entity_id, ('0x' || substr(h, 15, 2))::INTEGER % 64 AS slot, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1 ELSE -1 END) AS x FROM grams GROUP BY 1, 2, 3)
+SELECT doc_id, entity_id, 64 AS dim, CASE WHEN sum(x * x) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm2 FROM slots GROUP BY doc_id, entity_id"""),
     "context_windows": _with(MENTIONS, f'SELECT m.doc_id, m.start, m."end", m.type, {_context(60)} AS context FROM mentions m JOIN docs d USING (doc_id)'),
     "sim_pairs": _with(_vectors(), "SELECT a, b, round(s, 6) AS similarity FROM pairs"),
     "sim_pairs_blocked": _with(_vectors(0.3), "SELECT CAST(x.label AS VARCHAR) AS type, a, b, round(s, 6) AS similarity FROM pairs JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b WHERE x.label = y.label"),
@@ -157,6 +164,33 @@ a AS ({_cent('even', 'cluster_id')}), b AS ({_cent('odd', 'cluster_id')}), f AS
 a1 AS (SELECT cluster_id, i, n, t / greatest(sqrt(sum(t * t) OVER (PARTITION BY cluster_id)), 1e-9) AS t FROM a),
 m AS (SELECT a1.cluster_id, a1.i, a1.n + coalesce(b.n, 0) AS n, CASE WHEN b.n IS NULL THEN a1.t ELSE (a1.t * a1.n + b.t * b.n) / (a1.n + b.n) END AS t FROM a1 LEFT JOIN b ON a1.cluster_id = b.cluster_id AND a1.i = b.i UNION ALL SELECT cluster_id, i, n, t FROM f)
 SELECT cluster_id, CAST(n AS INTEGER) AS size, CAST(i - 1 AS INTEGER) AS dim, round(t / greatest(sqrt(sum(t * t) OVER (PARTITION BY cluster_id)), 1e-9), 6) AS x FROM m"""),
+    "incremental_assign": _with(
+        f"""v AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS doc_id, 'v' || vec_id AS entity_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+even AS (SELECT * FROM v WHERE vec_id % 2 = 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM even a JOIN even b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {MERGE}),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(n, r) AS (SELECT a, a FROM edges UNION SELECT d.b, x.r FROM reach x JOIN edges d ON d.a = x.n),
+roots AS (SELECT n AS vec_id, min(r) AS root FROM reach GROUP BY n),
+placed AS (SELECT even.*, coalesce(root, even.vec_id) AS root FROM even LEFT JOIN roots USING (vec_id)),
+named AS (SELECT root, 'c_' || substr(sha1('Vector|' || arg_max(entity_id, 1000000000 * length(entity_id) - vec_id) || '|' || string_agg(doc_id, '|' ORDER BY doc_id)), 1, 10) AS cluster_id FROM placed GROUP BY root),
+dims AS (SELECT root, i, avg(e[i]) AS t FROM placed, (SELECT unnest(range(1, (SELECT max(len(e)) FROM v) + 1)) AS i) GROUP BY root, i),
+olds AS (SELECT cluster_id, list(t / size ORDER BY i) AS c FROM (SELECT *, greatest(sqrt(sum(t * t) OVER (PARTITION BY root)), 1e-9) AS size FROM dims) JOIN named USING (root) GROUP BY cluster_id),
+near AS (SELECT v.vec_id, max(list_dot_product(v.e, o.c)) AS s, arg_max(o.cluster_id, list_dot_product(v.e, o.c)) AS target FROM v CROSS JOIN olds o WHERE v.vec_id % 2 = 1 GROUP BY v.vec_id),
+turn AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, v.*, s, target, 'c_' || substr(sha1('Vector|' || entity_id || '|' || doc_id), 1, 10) AS own FROM v JOIN near USING (vec_id)),
+fold(k, pos, best, made) AS (
+    SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS DOUBLE), [{{'id': 'none', 'c': [0.0::DOUBLE], 'n': 0::BIGINT}}][1:0]
+    UNION ALL
+    SELECT k, CASE WHEN s >= {MERGE} AND s >= best THEN -1 WHEN best >= {MERGE} THEN pos ELSE 0 END, best,
+        CASE WHEN s >= {MERGE} AND s >= best THEN made WHEN best >= {MERGE} THEN
+            list_transform(made, lambda x, i: CASE WHEN i = pos THEN {{'id': x.id, 'c': list_transform(x.c, lambda y, j: (y * x.n + e[j]) / (x.n + 1) / greatest(sqrt(list_sum(list_transform(x.c, lambda z, l: ((z * x.n + e[l]) / (x.n + 1)) ** 2))), 1e-9)), 'n': x.n + 1}} ELSE x END)
+        ELSE list_append(made, {{'id': own, 'c': e, 'n': 1::BIGINT}}) END
+    FROM (SELECT t.k, t.s, t.own, t.e, made, coalesce(list_max(list_transform(made, lambda x: list_dot_product(x.c, t.e))), -1) AS best,
+        coalesce(list_position(list_transform(made, lambda x: list_dot_product(x.c, t.e)), list_max(list_transform(made, lambda x: list_dot_product(x.c, t.e)))), 0) AS pos FROM fold f JOIN turn t ON t.k = f.k + 1))""",
+        f"""SELECT doc_id, entity_id, CASE WHEN pos = -1 OR (pos = 0 AND s >= {TIEBREAK}) THEN target WHEN pos > 0 THEN (SELECT made FROM fold ORDER BY k DESC LIMIT 1)[pos].id ELSE own END AS cluster_id,
+    round(CASE WHEN pos = -1 THEN s WHEN pos > 0 THEN best WHEN s >= {BORDERLINE} THEN s ELSE 1.0 END, 6) AS top_similarity,
+    CASE WHEN pos <> 0 THEN 'threshold' WHEN s >= {TIEBREAK} THEN 'llm_tiebreak' ELSE 'singleton' END AS source, NOT (pos = -1 OR (pos = 0 AND s >= {TIEBREAK})) AS is_new
+FROM fold JOIN turn USING (k)""",
+    ),
     "review_route": _with(ENTITIES, "SELECT doc_id, entity_id, reason FROM routed WHERE reason IS NOT NULL"),
     "review_lines": _with(ENTITIES, "SELECT doc_id, CAST(line AS INTEGER) AS line, 'keep' AS op, entity_id AS id, type, canonical, round(confidence, 6) AS confidence, CAST(n_mentions AS INTEGER) AS n_mentions, reason FROM lines"),
     "review_lines_flagged": _with(ENTITIES, "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_start, entity_id) + 1 AS INTEGER) AS line, entity_id AS id, reason FROM routed WHERE reason IS NOT NULL"),

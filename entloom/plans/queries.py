@@ -129,7 +129,7 @@ def coref_entities(spark, d):
 
 
 def coref_client(spark, d):
-    """Groups by a client in Python; rows only."""
+    """Groups by a client in Python."""
     m = _mentions(spark, d)
     return coref.client_groups(m, _docs(spark, d), SCHEMA, FirstWordCoref()).select("doc_id", "type", "canonical", "confidence", F.size("mention_ids").alias("n_mentions"))
 
@@ -160,7 +160,7 @@ def context_windows(spark, d):
 
 
 def embedded_entities(spark, d):
-    """Entities with vectors by the local embedder; rows only."""
+    """Entities with vectors by the local embedder."""
     e = embed.embed(embed.representation(_entities(spark, d), _docs(spark, d)), HashedEmbedder())
     return e.select("doc_id", "entity_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm2"))
 
@@ -235,7 +235,7 @@ def centroids_updated(spark, d):
 
 
 def incremental_assign(spark, d):
-    """Odd vectors against the registry of the even ones, in order; rows only."""
+    """Odd vectors against the registry of the even ones, in order."""
     v = _vectors(spark, d)
     old = cl.apply_assignments(v.filter("ord % 2 = 0"), cl.resolve(v.filter("ord % 2 = 0"), None, None, MERGE, BORDERLINE).assignments)
     found = incremental.assign(v.filter("ord % 2 = 1"), cn.compute_centroids(old, "given"), cl.registry(old), NearestTieBreaker(TIEBREAK), MERGE, BORDERLINE)

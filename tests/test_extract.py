@@ -148,3 +148,44 @@ def test_gazetteer(spark):
 def test_context(spark):
     got = spark.createDataFrame([("abc\ndef ghi",)], "t string").select(text.context(F.col("t"), F.lit(4), F.lit(7), 2), text.context(F.col("t"), F.lit(0), F.lit(3), 100)).first()
     assert list(got) == ["c def g", "abc def ghi"]
+
+
+def test_offsets_of_many_matches(spark):
+    body = " é ".join(f"x{k}" for k in range(1000))
+    got = spark.createDataFrame([(body,), ("",), ("none",)], "t string").select(text.spans(F.col("t"), r"x[0-9]+")).collect()
+    assert [(s.start, s.end, s.text) for s in got[0][0]] == [(*m.span(), m.group()) for m in re.finditer(r"x[0-9]+", body)]
+    assert [r[0] for r in got[1:]] == [[], []]
+
+
+def test_select_spans_of_many_stretches(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("d", f"m{k:04}", s := r.randrange(3000), s + r.randrange(1, 12), "x", "AB"[k % 2], r.randrange(5) / 5, "regex") for k in range(600)]
+    want = set()
+    for kind in "AB":
+        kept = []
+        for row in sorted((x for x in rows if x[5] == kind), key=lambda x: (-x[6], x[2], -x[3], x[1])):
+            if not any(row[2] < k[3] and k[2] < row[3] for k in kept):
+                kept.append(row)
+        want |= set(kept)
+    assert {tuple(x) for x in extract.select_spans(spark.createDataFrame(rows, MENTION)).collect()} == want
+
+
+def test_gazetteer_against_all_places(spark, monkeypatch):
+    texts = ["Ada Lovelace's work; Ada Lovelace-King, Ada  Lovelace. The Hague? -The Hague-", "well-known Ada", "", None, "C++ and C+ +, Ada"]
+    names = ["Ada", "Ada Lovelace", "The Hague", "well-known", "known", "C++", " Ada", "Ada ", "-", ""]
+    want = set()
+    for k, body in enumerate(texts):
+        places = reference_tokens(body or "")
+        for name in filter(None, names):
+            for a, _, _ in places:
+                if body[a : a + len(name)] == name and any(e == a + len(name) for _, e, _ in places):
+                    want.add((str(k), a, a + len(name), name))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table = spark.createDataFrame([("N", n) for n in names], "label string, name string")
+    for most in (1_000_000, 2):  # the names' first tokens sent, or too many for that
+        monkeypatch.setattr(extract, "SENT_NAMES", most)
+        got = [(r.doc_id, r.start, r.end, r.text) for r in extract.extract_gazetteer(docs, table).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert extract.extract_gazetteer(docs, table.limit(0)).count() == 0
