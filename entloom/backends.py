@@ -2,15 +2,17 @@
 
 A backend is pickled to the executors, so it loads its model on first use there.
 Remote language models fit :class:`ToolClient`, given a function that sends one
-request; no network library is needed here.
+request; model and client libraries are imported only when they are used.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 import json
 import logging
 import re
+import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol, runtime_checkable
@@ -285,3 +287,95 @@ class ToolClient:
             return checked_merges([Merge(d["entity_id"], d["target_cluster_id"], float(d["confidence"]), d.get("rationale", "")) for d in a["decisions"]], [c["entity_id"] for c in candidates], clusters)
 
         return self._call(MERGE_PROMPT, "", prompt, MERGE_TOOL, take)
+
+
+@dataclass
+class SpanModelExtractor:
+    """A zero-shot span model (library `gliner`), loaded on first use where it runs."""
+
+    model_id: str = "urchade/gliner_large-v2.5"
+    threshold: float = 0.4
+    flat: bool = False
+    multi_label: bool = True
+    device: str = "cpu"
+
+    def _model(self) -> Any:
+        return _loaded(("gliner", self.model_id, self.device), lambda: importlib.import_module("gliner").GLiNER.from_pretrained(self.model_id).to(self.device))
+
+    def predict(self, text: str, schema: EntitySchema) -> list[Prediction]:
+        if not text.strip():
+            return []
+        found = self._model().predict_entities(text, schema.type_names, threshold=self.threshold, flat_ner=self.flat, multi_label=self.multi_label)
+        return [Prediction(int(p["start"]), int(p["end"]), p["label"], float(p["score"])) for p in found]
+
+
+@dataclass
+class SentenceEmbedder:
+    """A sentence encoder (library `sentence_transformers`) with unit vectors, loaded on first use where it runs."""
+
+    model_id: str = "BAAI/bge-small-en-v1.5"
+    device: str | None = None
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros((0, 0), dtype=np.float32)
+        model = _loaded(("sentences", self.model_id, self.device), lambda: importlib.import_module("sentence_transformers").SentenceTransformer(self.model_id, device=self.device))
+        return np.asarray(model.encode(list(texts), normalize_embeddings=True), dtype=np.float32)
+
+
+_models: dict[tuple, Any] = {}
+
+
+def _loaded(key: tuple, load: Callable[[], Any]) -> Any:
+    """One model a process, however many copies of its backend were sent there."""
+    if key not in _models:
+        try:
+            _models[key] = load()
+        except ModuleNotFoundError as e:
+            raise BackendError(f"this backend needs the library {e.name}") from e
+    return _models[key]
+
+
+@dataclass
+class MessagesTransport:
+    """Sends a tool call through the client library `anthropic`; the schema block is marked for the server's cache."""
+
+    model: str
+    max_tokens: int = 8192
+
+    def __call__(self, system: str, block: str, prompt: str, tool: dict[str, Any]) -> tuple[Any, dict[str, int]]:
+        client = _loaded(("messages",), lambda: importlib.import_module("anthropic").Anthropic())
+        parts = [dict(type="text", text=t) for t in (system, block) if t]
+        parts[-1]["cache_control"] = dict(type="ephemeral")
+        answer = client.messages.create(model=self.model, max_tokens=self.max_tokens, system=parts, messages=[dict(role="user", content=prompt)], tools=[tool], tool_choice=dict(type="tool", name=tool["name"]))
+        found = [c.input for c in answer.content if c.type == "tool_use"]
+        if not found:
+            raise BackendError("the answer has no tool call")
+        counts = dict(input_tokens=answer.usage.input_tokens, output_tokens=answer.usage.output_tokens)
+        counts |= dict(cache_read_tokens=getattr(answer.usage, "cache_read_input_tokens", 0) or 0, cache_write_tokens=getattr(answer.usage, "cache_creation_input_tokens", 0) or 0)
+        return found[0], counts
+
+
+@dataclass
+class ChatTransport:
+    """Sends a tool call to a server of chat completions, by HTTP."""
+
+    model: str
+    url: str
+    key: str = field(default="", repr=False)
+    timeout: float = 120.0
+
+    def __call__(self, system: str, block: str, prompt: str, tool: dict[str, Any]) -> tuple[Any, dict[str, int]]:
+        function = as_function(tool)
+        messages = [dict(role="system", content="\n\n".join(filter(None, (system, block)))), dict(role="user", content=prompt)]
+        body = dict(model=self.model, messages=messages, tools=[function], tool_choice=dict(type="function", function=dict(name=tool["name"])))
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        asked = urllib.request.Request(self.url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(asked, timeout=self.timeout) as got:
+            answer = json.load(got)
+        calls = answer["choices"][0]["message"].get("tool_calls") or []
+        if not calls:
+            raise BackendError("the answer has no tool call")
+        used = answer.get("usage") or {}
+        read = (used.get("prompt_tokens_details") or {}).get("cached_tokens") or 0
+        return calls[0]["function"]["arguments"], dict(input_tokens=used.get("prompt_tokens", 0) - read, output_tokens=used.get("completion_tokens", 0), cache_read_tokens=read)

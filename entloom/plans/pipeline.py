@@ -30,9 +30,12 @@ class Run:
 
 
 def extract_entities(docs: DataFrame, schema: EntitySchema, extractor: Extractor | None = None, coref_client: CorefClient | None = None, threshold: float = 0.4, template: str = "{name}") -> DataFrame:
-    """Documents to entities of each document; without backends, by rules and equal surfaces."""
+    """Documents to entities of each document; without backends, by rules, the types' examples and equal surfaces."""
     if extractor is None:
-        raw = extract.label_types(extract.extract_rules(docs), schema, template)
+        raw = extract.label_types(extract.extract_rules(docs, extract.RULES + extract.NAME_RULES), schema)
+        if examples := [(t.name, e, 0.95) for t in schema.types for e in t.examples]:
+            names = docs.sparkSession.createDataFrame(examples, "label string, name string, score double")
+            raw = raw.unionByName(extract.label_types(extract.extract_gazetteer(docs, names, 0.95), schema))
     else:
         raw = extract.label_types(extract.extract_with(docs, schema, extractor).filter(F.col("score") >= threshold), schema, template)
     mentions = extract.mentions(extract.snap(raw, docs))
@@ -80,7 +83,7 @@ def resolve(work: Workdir, schema: EntitySchema, tiebreaker: TieBreaker | None =
         work.save(cn.compute_centroids(tagged, embedder.model_id), "centroids")
     else:
         base = Workdir(work.spark, against)
-        found = resolve_incremental(vectors, base.load("registry"), base.load("centroids"), embedder.model_id, tiebreaker, merge, borderline)
+        found = resolve_incremental(vectors, base.load("registry"), base.load("centroids"), embedder.model_id, tiebreaker, merge, borderline, docs)
         tagged, registry = found.entities, work.save(found.registry, "registry")
         work.save(found.centroids, "centroids")
     return work.save(tagged.drop("vector"), "entities"), registry

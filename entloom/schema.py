@@ -83,30 +83,37 @@ DEFAULT_SCHEMA = EntitySchema(
 Place = str | Path
 
 
+def parse_schema(text: str, suffix: str) -> EntitySchema:
+    """Of YAML or JSON text, told by a file name's suffix."""
+    if suffix in (".yaml", ".yml"):
+        import yaml
+
+        return EntitySchema.from_dict(yaml.safe_load(text))
+    if suffix == ".json":
+        return EntitySchema.from_dict(json.loads(text))
+    raise ValueError(f"a schema is .yaml, .yml or .json, not {suffix!r}")
+
+
+def schema_text(schema: EntitySchema, suffix: str) -> str:
+    if suffix in (".yaml", ".yml"):
+        import yaml
+
+        return yaml.safe_dump(schema.to_dict(), sort_keys=False, allow_unicode=True)
+    if suffix == ".json":
+        return json.dumps(schema.to_dict(), indent=2, ensure_ascii=False)
+    raise ValueError(f"a schema is .yaml, .yml or .json, not {suffix!r}")
+
+
 def load_schema(path: Place) -> EntitySchema:
     """Reads .yaml, .yml or .json."""
     path = Path(path)
     if not path.exists():
         raise FileNotFoundError(f"no schema at {path}")
-    text = path.read_text(encoding="utf-8")
-    if path.suffix in (".yaml", ".yml"):
-        import yaml
-
-        return EntitySchema.from_dict(yaml.safe_load(text))
-    if path.suffix == ".json":
-        return EntitySchema.from_dict(json.loads(text))
-    raise ValueError(f"a schema is .yaml, .yml or .json, not {path.suffix!r}")
+    return parse_schema(path.read_text(encoding="utf-8"), path.suffix)
 
 
 def save_schema(schema: EntitySchema, path: Place) -> None:
     path = Path(path)
-    if path.suffix in (".yaml", ".yml"):
-        import yaml
-
-        text = yaml.safe_dump(schema.to_dict(), sort_keys=False, allow_unicode=True)
-    elif path.suffix == ".json":
-        text = json.dumps(schema.to_dict(), indent=2, ensure_ascii=False)
-    else:
-        raise ValueError(f"a schema is .yaml, .yml or .json, not {path.suffix!r}")
+    text = schema_text(schema, path.suffix)
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text, encoding="utf-8")

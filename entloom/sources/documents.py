@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def read_documents(spark: SparkSession, where: str) -> DataFrame:
     """(doc_id, text, source) of a folder's .txt and .md files (at any depth), one file, or a glob.
@@ -14,22 +17,24 @@ def read_documents(spark: SparkSession, where: str) -> DataFrame:
     The doc_id is the file's name without suffix; two files of one name are an
     error, as are no files.  Line ends become \\n before any offset is taken.
     """
-    path = Path(where)
     options = {"wholetext": True}
-    if path.is_dir():
-        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}")
-        if not any(p.suffix in (".txt", ".md") for p in path.rglob("*")):
-            raise FileNotFoundError(f"no .txt or .md files in {where}")
-        raw = reader.text(where, **options)
-    elif path.is_file() or "://" in where:
-        raw = spark.read.text(where, **options)
-    else:
-        root = Path(*[p for p in path.parts[: next((i for i, p in enumerate(path.parts) if any(c in p for c in "*?[")), len(path.parts))]])
-        pattern = str(path.relative_to(root)) if path != root else "*"
-        files = sorted(str(p) for p in root.glob(pattern) if p.is_file())
-        if not files:
+    if files.is_folder(spark, where):
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(where, **options)
+    elif "**" in where and "://" not in where:  # which Hadoop's globs don't know
+        root, _, pattern = where.partition("**")
+        found = sorted(str(p) for p in Path(root or ".").glob("**" + pattern) if p.is_file())
+        if not found:
             raise FileNotFoundError(f"no files match {where}")
-        raw = spark.read.text(files, **options)
+        raw = spark.read.text(found, **options)
+    else:
+        if not any(c in where for c in "*?[{") and not files.exists(spark, where):
+            raise FileNotFoundError(f"no file or folder {where}")
+        try:
+            raw = spark.read.text(where, **options)
+        except AnalysisException as e:
+            raise FileNotFoundError(f"no files match {where}") from e
+    if not raw.inputFiles():
+        raise FileNotFoundError(f"no .txt or .md files in {where}")
     name = F.regexp_extract(F.url_decode(F.regexp_replace("source", r"\+", "%2B")), r"([^/]+?)(?:\.[^./]*)?$", 1)
     docs = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
     docs = docs.select(name.alias("doc_id"), F.regexp_replace("text", "\r\n?", "\n").alias("text"), "source")

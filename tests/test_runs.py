@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from entloom import EntitySchema, EntityType, cli, save_schema
-from entloom.backends import FirstLetterEmbedder, KeywordExtractor, SameSurfaceCoref
+from entloom.backends import FirstLetterEmbedder, KeywordExtractor, Merge, SameSurfaceCoref
+from entloom.model import MENTION
+from entloom.operators.incremental import resolve_incremental
 from entloom.plans import pipeline
+from entloom.plans.pipeline import extract_entities
 from entloom.sources.documents import read_documents
-from entloom.sources.workdir import Workdir
+from entloom.sources.workdir import Workdir, export_extractions, import_extractions
 from entloom.streaming.incremental import ResolutionState, resolve_stream
 from tests.test_resolve import ROW, unit
 
@@ -97,6 +100,111 @@ def test_cli(spark, tmp_path, capsys):
     assert "best merge threshold" in capsys.readouterr().out
 
 
+def test_default_schema_and_review_options(spark, tmp_path, capsys):
+    schema, work = str(tmp_path / "s.yaml"), str(tmp_path / "w")
+    assert cli.main(["schema", "init", "--out", schema]) == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("Marie Curie met Albert Einstein in Paris. They wrote to CERN.")
+    (tmp_path / "in/b.txt").write_text("Marie Curie worked in Geneva.")
+    assert cli.main(["pipeline", str(tmp_path / "in"), "-s", schema, "-o", work, "--review-threshold", "0.95"]) == 0
+    found = {(r.doc_id, r.type, r.canonical) for r in Workdir(spark, work).load("entities").collect()}
+    assert found == {("a", "Person", "Marie Curie"), ("a", "Person", "Albert Einstein"), ("a", "Location", "Paris"), ("a", "Organization", "CERN"), ("b", "Person", "Marie Curie"), ("b", "Location", "Geneva")}
+    text = (tmp_path / "w/review/a.jsonl").read_text()
+    assert "CERN" not in text and "Paris" in text  # only doubtful ones by default
+    assert cli.main(["review", "export", work, "--all", "-o", str(tmp_path / "r")]) == 0 and "CERN" in (tmp_path / "r/a.jsonl").read_text()
+    assert cli.main(["review", "export", work, "--threshold", "0.1", "-o", str(tmp_path / "none")]) == 0 and not list((tmp_path / "none").glob("*.jsonl"))
+    assert cli.main(["review", "lint", str(tmp_path / "none")]) == 0
+    assert cli.main(["review", "lint", str(tmp_path / "r")]) == 0 and cli.main(["review", "lint", str(tmp_path / "r/a.jsonl"), "--workdir", work]) == 0
+    (tmp_path / "r/a.jsonl").write_text((tmp_path / "r/a.jsonl").read_text().replace("Paris", "Pariz"))
+    assert cli.main(["review", "lint", str(tmp_path / "r")]) == 0 and cli.main(["review", "lint", str(tmp_path / "r"), "--workdir", work]) == 1
+    assert cli.main(["review", "import", str(tmp_path / "r")]) == 2 and cli.main(["review", "lint", str(tmp_path / "nowhere")]) == 2
+    assert cli.main(["extract", str(tmp_path / "in"), "-s", schema, "-o", work, "--provider", "chat", "--model", "m"]) == 2
+    capsys.readouterr()
+
+
+def test_extractions_as_json_files(spark, tmp_path):
+    docs = spark.createDataFrame([("a/1", "Ada Lovelace met Ada Lovelace."), ("b", "nothing")], "doc_id string, text string")
+    entities = extract_entities(docs, SCHEMA)
+    export_extractions(entities, docs, str(tmp_path / "x"))
+    assert sorted(p.name for p in (tmp_path / "x").glob("*.json")) == ["a_1.json", "b.json"]
+    assert json.loads((tmp_path / "x/b.json").read_text()) == {"document": {"doc_id": "b", "text": "nothing"}, "entities": []}
+    got_docs, got = import_extractions(spark, str(tmp_path / "x"))
+    assert sorted(map(tuple, got_docs.collect())) == sorted(map(tuple, docs.collect()))
+    assert got.collect() == entities.select(*got.columns).collect() and got.count() == 1
+    export_extractions(entities, docs, (tmp_path / "uri").as_uri())
+    assert (tmp_path / "uri/b.json").exists()
+
+
+def test_adapters_load_their_libraries_on_use(monkeypatch):
+    import types
+
+    import numpy as np
+
+    from entloom import backends
+
+    class Model:
+        def to(self, device):
+            return self
+
+        def predict_entities(self, text, labels, threshold, flat_ner, multi_label):
+            assert (threshold, flat_ner, multi_label) == (0.4, False, True)
+            return [{"start": 0, "end": 3, "label": labels[0], "score": 0.8, "text": text[:3]}]
+
+    class Messages:
+        def create(self, **asked):
+            assert asked["tool_choice"]["name"] == asked["tools"][0]["name"] and asked["system"][-1]["cache_control"]
+            body = {"clusters": [{"mention_ids": ["m1"], "canonical": "Ada", "type": SCHEMA.type_names[0], "confidence": 0.9}]}
+            return types.SimpleNamespace(content=[types.SimpleNamespace(type="tool_use", input=body)], usage=types.SimpleNamespace(input_tokens=10, output_tokens=2, cache_read_input_tokens=30, cache_creation_input_tokens=0))
+
+    with pytest.raises(backends.BackendError, match="gliner"):
+        backends.SpanModelExtractor("none").predict("Ada", SCHEMA)
+    fakes = {
+        "gliner": types.SimpleNamespace(GLiNER=types.SimpleNamespace(from_pretrained=lambda name: Model())),
+        "sentence_transformers": types.SimpleNamespace(SentenceTransformer=lambda name, device: types.SimpleNamespace(encode=lambda texts, normalize_embeddings: np.ones((len(texts), 2)))),
+        "anthropic": types.SimpleNamespace(Anthropic=lambda: types.SimpleNamespace(messages=Messages())),
+    }
+    for name, module in fakes.items():
+        monkeypatch.setitem(sys.modules, name, module)
+    monkeypatch.setattr(backends, "_models", {})
+    assert backends.SpanModelExtractor("m").predict("Ada", SCHEMA) == [backends.Prediction(0, 3, SCHEMA.type_names[0], 0.8)] and backends.SpanModelExtractor("m").predict(" ", SCHEMA) == []
+    assert backends.SentenceEmbedder().encode(["a", "b"]).shape == (2, 2) and backends.SentenceEmbedder().encode([]).shape == (0, 0)
+    client = backends.ToolClient(backends.MessagesTransport("m"))
+    mention = {"id": "m1", "start": 0, "end": 3, "text": "Ada", "type": SCHEMA.type_names[0], "score": 0.9}
+    assert client.group("d", "Ada", [mention], SCHEMA)[0].canonical == "Ada" and client.cache_hit_ratio == 0.75
+
+    class Answer:
+        def __enter__(self):
+            import io
+
+            call = {"function": {"arguments": json.dumps({"decisions": [{"entity_id": "e", "target_cluster_id": None, "confidence": 0.5}]})}}
+            return io.StringIO(json.dumps({"choices": [{"message": {"tool_calls": [call]}}], "usage": {"prompt_tokens": 5, "completion_tokens": 1}}))
+
+        def __exit__(self, *a):
+            return False
+
+    asked = []
+    monkeypatch.setattr(backends.urllib.request, "urlopen", lambda request, timeout: asked.append(request) or Answer())
+    chat = backends.ToolClient(backends.ChatTransport("m", "http://host/v1", "key"))
+    assert chat.decide([{"entity_id": "e"}], {})[0].target is None and asked[0].full_url == "http://host/v1/chat/completions" and asked[0].headers["Authorization"] == "Bearer key"
+
+
+def test_incremental_tie_breaks_have_contexts(spark):
+    class Asking:
+        model_id = "asking"
+
+        def decide(self, candidates, clusters):
+            return [Merge(c["entity_id"], c["nearest_cluster_id"] if c["contexts"] == ["met Ada Lovelace today"] else None, 0.9) for c in candidates]
+
+    docs = spark.createDataFrame([("d", "met Ada Lovelace today")], "doc_id string, text string")
+    m = [("m", 4, 16, "Ada Lovelace", "T", 1.0, "regex", None)]
+    new = spark.createDataFrame([("d", "e", "T", "Ada Lovelace", "Ada Lovelace", 0.9, None, m, unit(0.8, 0.6))], f"doc_id string, entity_id string, type string, canonical string, surface_canonical string, confidence double, cluster_id string, mentions array<{MENTION.simpleString()}>, vector array<double>")
+    registry = spark.createDataFrame([("c", "Ada", "T", ["x/y"])], "cluster_id string, canonical string, type string, members array<string>")
+    centroids = spark.createDataFrame([("c", "T", unit(1, 0), 1, "id")], "cluster_id string, type string, centroid array<double>, size int, embedder_id string")
+    for given, want in ((docs, "llm_tiebreak"), (None, "singleton")):
+        found = resolve_incremental(new, registry, centroids, "id", Asking(), 0.9, 0.7, given)
+        assert [r.source for r in found.assignments.collect()] == [want]
+
+
 def test_stream(spark, tmp_path):
     batches = [[("d1", "e0", unit(1, 0)), ("d2", "e1", unit(0, 1))], [("d3", "e2", unit(1, 0.01))], [("d4", "e3", unit(0, 1)), ("d5", "e4", unit(-1, 0))]]
     state = ResolutionState(spark, tmp_path / "state")
