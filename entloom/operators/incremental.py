@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..backends import TieBreaker, checked_merges
+from ..functions import ids
 from ..functions.vectors import FLOOR
 from ..store import Store
 from .centroids import update_centroids
 from .cluster import BORDERLINE, MERGE, apply_assignments, numbered, with_contexts
+from .similarity import best_two
 
 _OUT = "doc_id string, entity_id string, cluster_id string, top_similarity double, second_similarity double, source string, is_new boolean, new_canonical string, centroid array<double>, size int"
 
@@ -51,11 +53,26 @@ def _listed(values) -> list:
 
 
 def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | None, merge: float, borderline: float) -> list[dict]:
-    """Assignments of the new entities of one type, in their order."""
-    old_ids = [c["cluster_id"] for c in old]
-    old_m = np.array([c["centroid"] for c in old], dtype=np.float64)
-    taken = set(old_ids)
+    """Assignments of the new entities of one type, in their order, with all old clusters at hand."""
+    m = np.array([c["centroid"] for c in old], dtype=np.float64)
+    near = []
+    for e in new:
+        s = m @ np.asarray(e["vector"], dtype=np.float64) if len(old) else np.zeros(0)
+        best = [(old[int(k)], float(s[k])) for k in np.argsort(-s, kind="stable")[:2]]
+        first = {"nearest": best[0][0]["cluster_id"], "nearest_canonical": best[0][0]["canonical"], "first_similarity": best[0][1]} if best else {}
+        near.append(e | first | {"second_similarity": best[1][1] if len(best) > 1 else None, "taken": [c["cluster_id"] for c in old]})
+    return fold_near(kind, near, tiebreaker, merge, borderline)
+
+
+def fold_near(kind: str, new: list[dict], tiebreaker: TieBreaker | None, merge: float, borderline: float) -> list[dict]:
+    """Assignments of the new entities of one type, in their order.
+
+    Each has its `nearest` old cluster with `nearest_canonical` and
+    `first_similarity`, the `second_similarity` of the next, and the old ids that
+    are `taken` of those that it could get.
+    """
     fresh: dict[str, dict] = {}
+    taken: set[str] = set()
     made: list[str] = []  # ids of the new clusters, in order; their centroids are the first rows of new_m
     new_m = np.zeros((64, len(new[0]["vector"]) if new else 0))
     out: list[dict] = []
@@ -63,7 +80,7 @@ def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | N
 
     def register(e: dict, v: np.ndarray) -> str:
         nonlocal new_m
-        cid = new_cluster_id(kind, e["canonical"], e["doc_id"], taken)
+        cid = new_cluster_id(kind, e["canonical"], e["doc_id"], taken.union(_listed(e.get("taken"))))
         taken.add(cid)
         fresh[cid] = {"centroid": v, "n": 1, "canonical": e["surface_canonical"], "members": [len(out)]}
         if len(made) == len(new_m):
@@ -74,15 +91,16 @@ def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | N
 
     for e in new:
         v = np.asarray(e["vector"], dtype=np.float64)
-        old_s = old_m @ v if len(old_m) else np.zeros(0)
+        has_old = isinstance(e.get("nearest"), str)
+        old_s = [float(s) for s in (e.get("first_similarity"), e.get("second_similarity")) if has_old and s is not None and s == s]
         new_s = new_m[: len(made)] @ v
         every = np.concatenate([old_s, new_s])
         second = float(np.partition(every, len(every) - 2)[-2]) if len(every) > 1 else 0.0
-        best_old = float(old_s.max()) if len(old_s) else -1.0
+        best_old = old_s[0] if has_old else -1.0
         best_new = float(new_s.max()) if len(new_s) else -1.0
         row = {"doc_id": e["doc_id"], "entity_id": e["entity_id"], "top_similarity": 1.0, "second_similarity": second, "source": "singleton", "vector": v, "surface": e["surface_canonical"]}
-        if len(old_s) and best_old >= merge and best_old >= best_new:
-            row |= {"cluster_id": old_ids[int(old_s.argmax())], "top_similarity": best_old, "source": "threshold"}
+        if has_old and best_old >= merge and best_old >= best_new:
+            row |= {"cluster_id": e["nearest"], "top_similarity": best_old, "source": "threshold"}
         elif len(new_s) and best_new >= merge:
             at = int(new_s.argmax())
             cid = made[at]
@@ -94,18 +112,18 @@ def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | N
             if len(e["surface_canonical"]) > len(c["canonical"]):
                 c["canonical"] = e["surface_canonical"]
             row |= {"cluster_id": cid, "top_similarity": best_new, "source": "threshold"}
-        elif tiebreaker is not None and len(old_s) and best_old >= borderline:
+        elif tiebreaker is not None and has_old and best_old >= borderline:
             row |= {"cluster_id": register(e, v), "top_similarity": best_old}
-            waiting.append({"at": len(out), "entity": e, "nearest": old_ids[int(old_s.argmax())], "similarity": best_old})
+            waiting.append({"at": len(out), "entity": e, "nearest": e["nearest"], "similarity": best_old})
         else:
             row["cluster_id"] = register(e, v)
         out.append(row)
 
     if waiting:
-        names = {c["cluster_id"]: c["canonical"] for c in old}
+        names = {w["nearest"]: w["entity"]["nearest_canonical"] for w in waiting}
         asked = [{"entity_id": f"{w['entity']['doc_id']}/{w['entity']['entity_id']}", "type": kind, "canonical": w["entity"]["canonical"], "contexts": _listed(w["entity"].get("contexts")), "nearest_cluster_id": w["nearest"], "nearest_similarity": w["similarity"]} for w in waiting]
         by_ref = {a["entity_id"]: w for a, w in zip(asked, waiting, strict=True)}
-        for m in checked_merges(tiebreaker.decide(asked, {w["nearest"]: names[w["nearest"]] for w in waiting}), list(by_ref), names):
+        for m in checked_merges(tiebreaker.decide(asked, names), list(by_ref), names):
             w = by_ref[m.entity_id]
             if m.target != w["nearest"]:
                 continue  # only the nearest cluster was offered
@@ -127,20 +145,29 @@ def fold(kind: str, new: list[dict], old: list[dict], tiebreaker: TieBreaker | N
 
 
 def assign(new: DataFrame, centroids: DataFrame, registry: DataFrame, tiebreaker: TieBreaker | None = None, merge: float = MERGE, borderline: float = BORDERLINE) -> DataFrame:
-    """The fold over each type. `new` has vectors; clusters that the registry doesn't know are left out."""
-    known = centroids.drop("type").join(registry.select("cluster_id", "type", "canonical"), "cluster_id").select("type", "cluster_id", "canonical", F.col("centroid").cast("array<double>").alias("centroid"))
-    rows = numbered(new).select("type", "doc_id", "entity_id", "canonical", "surface_canonical", F.col("vector").cast("array<double>").alias("vector"), F.col("rank.o").alias("o"), F.col("rank.d").alias("d"), F.col("rank.s").alias("s"), *(["contexts"] if "contexts" in new.columns else []))
+    """The fold over each type. `new` has vectors; clusters that the registry doesn't know are left out.
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    Old centroids don't move during a run, so each entity's best two of them are
+    found before, in block products over the cluster; the task of a type holds its
+    new entities alone, however large the registry is.
+    """
+    known = centroids.drop("type").join(registry.select("cluster_id", "type", "canonical"), "cluster_id")
+    order = numbered(new).select("type", "node", "doc_id", "entity_id", "canonical", "surface_canonical", F.col("vector").cast("array<double>").alias("vector"), F.col("rank.o").alias("o"), F.col("rank.d").alias("d"), F.col("rank.s").alias("s"), *(["contexts"] if "contexts" in new.columns else []))
+    left = order.select("type", "node", "vector", F.lit(None).cast("string").alias("own"))
+    near = best_two(left, known.select("type", F.col("cluster_id").alias("target"), F.col("centroid").alias("vector")))
+    near = near.join(known.select(F.col("cluster_id").alias("first"), F.col("canonical").alias("nearest_canonical")), "first").withColumnRenamed("first", "nearest")
+    # of a new cluster's id only one that was made from the same name and document can be taken
+    taken = registry.select(F.regexp_extract("cluster_id", "^(c_[0-9a-f]{10})(?:_[0-9]+)?$", 1).alias("own_id"), "cluster_id").filter("own_id <> ''").groupBy("own_id").agg(F.collect_set("cluster_id").alias("taken"))
+    rows = order.join(near, "node", "left").withColumn("own_id", ids.cluster_id(F.col("type"), F.col("canonical"), F.array("doc_id"))).join(taken, "own_id", "left").drop("own_id", "node")
+
+    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in _OUT.split(", ")]
-        ordered = left.sort_values(["o", "d", "s", "entity_id"], kind="stable").to_dict("records")
-        clusters = right.sort_values("cluster_id").to_dict("records")
-        found = fold(key[0], ordered, clusters, tiebreaker, merge, borderline) if ordered else []
-        frame = pd.DataFrame(found, columns=columns)
+        ordered = table.sort_values(["o", "d", "s", "entity_id"], kind="stable").to_dict("records")
+        frame = pd.DataFrame(fold_near(key[0], ordered, tiebreaker, merge, borderline), columns=columns)
         frame["size"] = frame["size"].astype("Int32")
         return frame
 
-    return rows.groupBy("type").cogroup(known.groupBy("type")).applyInPandas(run, _OUT)
+    return rows.groupBy("type").applyInPandas(run, _OUT)
 
 
 def resolve_incremental(new: DataFrame, registry: DataFrame, centroids: DataFrame, embedder_id: str, tiebreaker: TieBreaker | None = None, merge: float = MERGE, borderline: float = BORDERLINE, docs: DataFrame | None = None) -> Incremental:

@@ -37,3 +37,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.mkdirs(p)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, sorted; none of one that doesn't exist."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

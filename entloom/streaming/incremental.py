@@ -16,6 +16,7 @@ from ..backends import TieBreaker
 from ..model import CENTROID, REGISTRY
 from ..operators.cluster import BORDERLINE, MERGE
 from ..operators.incremental import resolve_incremental
+from ..sources import files
 
 
 class ResolutionState:
@@ -27,17 +28,25 @@ class ResolutionState:
     def _path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version:08d}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _version_before(self, batch: int) -> int | None:
+        """The last whole version before a batch's own, from one listing."""
+        there = sorted((int(name[1:]) for name in files.names_in(self.spark, f"{self.root}/centroids") if int(name[1:]) < batch), reverse=True)
+        return next((v for v in there if files.exists(self.spark, f"{self._path('centroids', v)}/_SUCCESS")), None)
 
     def before(self, batch: int) -> tuple[DataFrame, DataFrame]:
         """Registry and centroids as the last batch before `batch` left them; empty at first."""
-        for version in range(batch - 1, -1, -1):
-            done = f"{self._path('centroids', version)}/_SUCCESS"
-            if self._exists(done):
-                return self.spark.read.schema(REGISTRY).parquet(self._path("registry", version)), self.spark.read.schema(CENTROID).parquet(self._path("centroids", version))
-        return self.spark.createDataFrame([], REGISTRY), self.spark.createDataFrame([], CENTROID)
+        version = self._version_before(batch)
+        if version is None:
+            return self.spark.createDataFrame([], REGISTRY), self.spark.createDataFrame([], CENTROID)
+        return self.spark.read.schema(REGISTRY).parquet(self._path("registry", version)), self.spark.read.schema(CENTROID).parquet(self._path("centroids", version))
+
+    def forget(self, batch: int) -> None:
+        """Drops the registries and centroids that no batch reads any more: older than the version before `batch`, which a rerun of it needs."""
+        least = self._version_before(batch)
+        for name in ("registry", "centroids"):
+            for version in files.names_in(self.spark, f"{self.root}/{name}"):
+                if least is not None and int(version[1:]) < least:
+                    files.delete(self.spark, f"{self.root}/{name}/{version}")
 
     def write(self, batch: int, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self._path(name, batch))
@@ -55,5 +64,6 @@ def resolve_stream(entities: DataFrame, state: ResolutionState, checkpoint: str,
         state.write(batch_id, "entities", found.entities)
         state.write(batch_id, "registry", found.registry)
         state.write(batch_id, "centroids", found.centroids)  # last: its presence says that the version is whole
+        state.forget(batch_id)
 
     return entities.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -170,6 +170,27 @@ def test_fold_keeps_a_provisional_cluster_that_others_joined():
     assert out[1]["is_new"] and out[1]["size"] == 1 and out[1]["centroid"] == pytest.approx(unit(0.6, 0.8))
 
 
+def test_assignments_are_those_of_a_fold_with_all_clusters_at_hand(spark, monkeypatch):
+    from entloom.operators import similarity
+    from entloom.operators.incremental import assign
+
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    r = np.random.default_rng(3)
+    old = [{"cluster_id": f"c_{k:010x}", "canonical": f"n{k}", "type": "T", "centroid": unit(*r.normal(size=4))} for k in range(23)]
+    new = [e_(f"d{k:02}", f"x{k % 7}", *r.normal(size=4)) for k in range(40)]
+    old.append({"cluster_id": new_cluster_id("T", "x3", "d03", set()), "canonical": "x3", "type": "T", "centroid": unit(-1, 0, 0, 0)})  # d03 can't have its own id
+    old.sort(key=lambda c: c["cluster_id"])
+    want = {x["doc_id"]: x for x in fold("T", new, old, NearestTieBreaker(0.85), 0.9, 0.8)}
+    registry = spark.createDataFrame([(c["cluster_id"], c["canonical"], c["type"], ["a/b"]) for c in old], "cluster_id string, canonical string, type string, members array<string>")
+    cen = spark.createDataFrame([(c["cluster_id"], c["type"], c["centroid"], 1, "x") for c in old], "cluster_id string, type string, centroid array<double>, size int, embedder_id string")
+    rows = spark.createDataFrame([(e["doc_id"], e["entity_id"], "T", e["canonical"], e["canonical"], e["vector"]) for e in new], "doc_id string, entity_id string, type string, canonical string, surface_canonical string, vector array<double>")
+    got = {x.doc_id: x for x in assign(rows, cen, registry, NearestTieBreaker(0.85), 0.9, 0.8).collect()}
+    assert len(got) == 40 and {x.source for x in got.values()} == {"threshold", "singleton", "llm_tiebreak"}
+    for d, x in got.items():
+        assert (x.cluster_id, x.source, x.is_new) == (want[d]["cluster_id"], want[d]["source"], want[d]["is_new"])
+        assert (x.top_similarity, x.second_similarity) == pytest.approx((want[d]["top_similarity"], want[d]["second_similarity"]))
+
+
 def test_new_ids_avoid_taken_ones():
     a = new_cluster_id("T", "x", "d", set())
     assert new_cluster_id("T", "x", "d", {a}) == a + "_1" and new_cluster_id("T", "x", "d", {a, a + "_1"}) == a + "_2"

@@ -216,6 +216,8 @@ def test_stream(spark, tmp_path):
     registry, centroids = state.before(3)
     assert sorted(len(r.members) for r in registry.collect()) == [1, 2, 2] and centroids.count() == 3
     assert state.entities().count() == 5
+    for name in ("registry", "centroids"):  # a rerun of the last batch needs the version before it, and nothing older
+        assert sorted(p.name for p in (tmp_path / "state" / name).iterdir()) == ["v00000001", "v00000002"]
 
 
 def test_entry_without_the_optional_subpackage(tmp_path):
