@@ -1,10 +1,15 @@
-"""Tokens of Arrow string columns by numpy, whole batches at a time; the same tokens as the pattern in :mod:`.text`."""
+"""Tokens of Arrow string columns by numpy, many texts at a time; the same tokens as the pattern in :mod:`.text`.
+
+Some 70 bytes of numpy arrays go with each byte of text, so batches are taken in
+:func:`pieces`, whatever number of texts and bytes a batch has.
+"""
 
 from __future__ import annotations
 
 import functools
 import sys
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +18,19 @@ import pyarrow.compute as pc
 
 _SPACE, _WORD, _INNER = 1, 2, 4
 
+#: Bytes of text that are taken at once.
+PIECE = 1 << 20
+
+
+def pieces(column: pa.Array) -> Iterator[slice]:
+    """The rows of a column, cut into runs of PIECE bytes at most, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, done = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+        yield slice(lo, hi)
+        lo, done = hi, ends[hi - 1]
+
 
 @functools.cache
 def _kinds() -> np.ndarray:
@@ -74,7 +92,7 @@ def tokenize(column: pa.Array) -> Tokens:
 
 
 def offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Row, start, end and text of every token; places from the start of its own text."""
+    """Of a piece: row, start, end and text of every token; places from the start of its own text."""
     t = tokenize(column)
     base = t.first[t.row]
     return t.row, t.start - base, t.end - base, t.texts(t.start, t.end)

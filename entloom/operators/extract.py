@@ -117,8 +117,9 @@ def token_offsets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, end, token = tokens.offsets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), token], ["doc_id", "start", "end", "token"])
+            for k in tokens.pieces(batch.column(1)):
+                row, start, end, token = tokens.offsets(batch.column(1)[k])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), token], ["doc_id", "start", "end", "token"])
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id string, start int, end int, token string")
 

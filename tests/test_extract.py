@@ -189,3 +189,25 @@ def test_gazetteer_against_all_places(spark, monkeypatch):
         got = [(r.doc_id, r.start, r.end, r.text) for r in extract.extract_gazetteer(docs, table).collect()]
         assert set(got) == want and len(got) == len(want)
     assert extract.extract_gazetteer(docs, table.limit(0)).count() == 0
+
+
+def _wide(monkeypatch):
+    """Texts of 3 KB, and the most text that was taken into tokens at once."""
+    import pyarrow as pa
+
+    from entloom.functions import tokens as tk
+
+    seen, plain = [], tk.tokenize
+    monkeypatch.setattr(tk, "PIECE", 10_000)
+    monkeypatch.setattr(tk, "tokenize", lambda column: seen.append(column.nbytes) or plain(column))
+    texts = [None, "", "x" * 50_000, *(f"Zoë {k} well-known " * 120 for k in range(40)), None]
+    return tk, pa.array(texts, pa.string()), seen
+
+
+def test_pieces_hold_every_row_once_and_bounded_text(monkeypatch):
+    tk, column, seen = _wide(monkeypatch)
+    runs = list(tk.pieces(column))
+    assert [k for r in runs for k in range(r.start, r.stop)] == list(range(len(column)))
+    for r in runs:
+        assert sum(len((t or "").encode()) for t in column[r].to_pylist()) <= 10_000 or r.stop - r.start == 1
+    assert list(tk.pieces(column[:0])) == []
