@@ -114,6 +114,11 @@ def grams(column: pa.Array, sizes: list[int], openers: pa.Array | None) -> tuple
 
 def snapped(column: pa.Array, starts: pa.ListArray, ends: pa.ListArray) -> pa.Array:
     """list(struct(start, end, text)): each span of each text widened to the tokens that its ends cut, then trimmed of white space."""
+    parts = [_snapped(column[k], starts[k], ends[k]) for k in pieces(column)]
+    return pa.concat_arrays(parts) if parts else _snapped(column, starts, ends)
+
+
+def _snapped(column: pa.Array, starts: pa.ListArray, ends: pa.ListArray) -> pa.Array:
     t = tokenize(column)
     counts = np.array([0 if n is None else n for n in pc.list_value_length(starts).to_pylist()], dtype=np.int64)
     row = np.repeat(np.arange(len(column)), counts)

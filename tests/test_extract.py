@@ -211,3 +211,14 @@ def test_pieces_hold_every_row_once_and_bounded_text(monkeypatch):
     for r in runs:
         assert sum(len((t or "").encode()) for t in column[r].to_pylist()) <= 10_000 or r.stop - r.start == 1
     assert list(tk.pieces(column[:0])) == []
+
+
+def test_snap_takes_a_batch_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    tk, column, seen = _wide(monkeypatch)
+    spans = pa.array([[1, 7]] * len(column), pa.list_(pa.int32())), pa.array([[2, 9]] * len(column), pa.list_(pa.int32()))
+    found = tk.snapped(column, *spans).to_pylist()
+    assert len(seen) > 10 and sum(seen) < 2 * column.nbytes + 2000
+    monkeypatch.setattr(tk, "PIECE", 1 << 40)
+    assert found == tk.snapped(column, *spans).to_pylist() and found[5][0]["text"] == "Zoë"
