@@ -75,8 +75,9 @@ def extract_gazetteer(docs: DataFrame, names: DataFrame, score: float = 1.0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, end, gram = tokens.grams(batch.column(1), sizes, openers.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), gram], ["doc_id", "start", "end", "text"])
+            for k in tokens.pieces(batch.column(1)):
+                row, start, end, gram = tokens.grams(batch.column(1)[k], sizes, openers.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k].take(pa.array(row)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), gram], ["doc_id", "start", "end", "text"])
 
     found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, start int, end int, text string")
     found = found.join(listed.select("label", F.col("name").alias("text")), "text")

@@ -222,3 +222,20 @@ def test_snap_takes_a_batch_in_pieces(monkeypatch):
     assert len(seen) > 10 and sum(seen) < 2 * column.nbytes + 2000
     monkeypatch.setattr(tk, "PIECE", 1 << 40)
     assert found == tk.snapped(column, *spans).to_pylist() and found[5][0]["text"] == "Zoë"
+
+
+def test_offsets_and_gazetteer_yield_a_batch_for_each_piece(spark, monkeypatch):
+    import pyarrow as pa
+
+    _, column, seen = _wide(monkeypatch)
+    batch = pa.record_batch([pa.array([str(k) for k in range(len(column))]), column], ["doc_id", "text"])
+    docs = spark.createDataFrame([("0", "Zoë")], "doc_id string, text string")
+    names = spark.createDataFrame([("Person", "Zoë")], "label string, name string")
+    runs, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: runs.append(f) or plain(self, f, schema))
+    extract.token_offsets(docs), extract.extract_gazetteer(docs, names)
+    for run, each in zip(runs, (360, 120), strict=True):
+        seen.clear()
+        found = list(run(iter([batch])))
+        assert len(found) > 10 and max(seen) < 100_000
+        assert sum(map(len, found)) == 40 * each + (each == 360)
