@@ -8,7 +8,7 @@ from entloom.backends import FirstLetterEmbedder, HashedEmbedder, NearestTieBrea
 from entloom.operators import centroids, cluster, evaluate
 from entloom.operators.components import components
 from entloom.operators.incremental import fold, new_cluster_id, resolve_incremental
-from entloom.operators.similarity import best_two, similar_pairs
+from entloom.operators.similarity import best_two, similar_links, similar_pairs
 
 ROW = "doc_id string, entity_id string, type string, canonical string, surface_canonical string, confidence double, cluster_id string, vector array<double>, ord int"
 
@@ -72,6 +72,42 @@ def test_pairs_and_best_two_match_numpy(spark, monkeypatch):
         assert found[f"n{k:02d}"].first == sims[0][1] and abs(found[f"n{k:02d}"].second_similarity - sims[1][0]) < 1e-12
 
 
+def _blocked(spark, monkeypatch):
+    """60 vectors of two kinds in blocks of 7, many of them alike."""
+    import entloom.operators.similarity as s
+
+    monkeypatch.setattr(s, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4))
+    v[::3] = v[0] + 0.01 * v[::3]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return v, spark.createDataFrame([(str(k % 2), f"n{k:02d}", v[k].tolist()) for k in range(60)], "type string, node string, vector array<double>")
+
+
+def test_block_pairs_shuffle_nothing(spark, monkeypatch):
+    """Vectors were once shuffled to each pair of blocks: the square of their number."""
+    _, df = _blocked(spark, monkeypatch)
+    for found in (similar_pairs(df, 0.4), similar_links(df, [0.4])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_links_connect_what_pairs_connect(spark, monkeypatch):
+    import entloom.operators.similarity as s
+
+    v, df = _blocked(spark, monkeypatch)
+    for most in (s.FOREST_EDGES, -1000):  # with the second, a forest after each product
+        monkeypatch.setattr(s, "FOREST_EDGES", most)
+        links = similar_links(df, [0.8, 0.95]).collect()
+        for level, t in enumerate((0.8, 0.95)):
+            pairs = [(f"n{a:02d}", f"n{b:02d}") for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and v[a] @ v[b] >= t]
+            got = [(r.a, r.b) for r in links if r.level == level]
+            assert brute_components(got) == brute_components(pairs)
+    spot = spark.createDataFrame([("T", f"n{k}", [1.0, 0.0]) for k in range(50)], "type string, node string, vector array<double>")
+    monkeypatch.setattr(s, "BLOCK", 64)
+    assert similar_links(spot, [0.4]).count() == 49  # not all 1,225 pairs
+
+
 def test_same_name_clusters_and_types_block(spark):
     e = entities(spark, [("d1", "Al", (1, 0)), ("d2", "Alan", (1, 0)), ("d3", "Al", (1, 0)), ("d4", "Bo", (0, 1)), ("d5", "Al", (1, 0), "U"), ("d6", "Al", (1, 0), "U")])
     r = cluster.resolve(e)
