@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..store import Store
 from .components import components
-from .similarity import similar_pairs
+from .similarity import similar_links
 
 MERGE_GRID, BORDERLINE_GRID = (0.78, 0.82, 0.86), (0.70, 0.75, 0.80)
 
@@ -63,16 +63,16 @@ def evaluate(system: DataFrame, gold: DataFrame) -> DataFrame:
 def sweep_thresholds(rows: DataFrame, gold: DataFrame, merge_grid: Sequence[float] = MERGE_GRID, borderline_grid: Sequence[float] = BORDERLINE_GRID) -> DataFrame:
     """Scores at every grid point with borderline <= merge, without a tie-breaker.
 
-    Similarities are computed once, at the least threshold.  Without a tie-breaker
+    Similarities are computed once, for all thresholds.  Without a tie-breaker
     the borderline decides nothing, so entities are clustered once for each merge
     threshold.  `rows` has (doc_id, entity_id, type, vector).
     """
     store = Store(rows.sparkSession, "sweep")
     e = rows.select("doc_id", "entity_id", "type", "vector", F.concat_ws("/", "doc_id", "entity_id").alias("node"))
-    pairs = store.keep(similar_pairs(e, min(merge_grid)), "pairs")
+    links = store.keep(similar_links(e, merge_grid), "links")
     out = None
-    for merge in merge_grid:
-        root = components(pairs.filter(F.col("similarity") >= merge).select("a", "b"))
+    for level, merge in enumerate(merge_grid):
+        root = components(links.filter(F.col("level") == level).select("a", "b"))
         system = e.join(root, "node", "left").select("doc_id", "entity_id", F.concat_ws("|", "type", F.coalesce("root", "node")).alias("cluster_id"))
         report = store.keep(evaluate(system, gold), f"report-{merge}")
         grid = [b for b in borderline_grid if b <= merge]
