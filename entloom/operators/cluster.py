@@ -15,7 +15,7 @@ from ..functions import ids, scores, vectors
 from ..store import Store
 from .components import components
 from .embed import contexts
-from .similarity import best_two, similar_pairs
+from .similarity import best_two, similar_links
 
 MERGE, BORDERLINE = 0.82, 0.75
 TIEBREAK_CONFIDENCE = 0.9
@@ -53,7 +53,7 @@ def _first_longest_window(by: list[str]):
 
 def groups(rows: DataFrame, merge: float) -> DataFrame:
     """(node, root) of the entities that are at least as similar as `merge` to another of their type, directly or in a chain."""
-    return components(similar_pairs(rows, merge))
+    return components(similar_links(rows, [merge]))
 
 
 def resolve(rows: DataFrame, tiebreaker: TieBreaker | None = None, docs: DataFrame | None = None, merge: float = MERGE, borderline: float = BORDERLINE) -> Resolution:
