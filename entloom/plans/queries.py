@@ -13,7 +13,7 @@ from ..operators import centroids as cn
 from ..operators import cluster as cl
 from ..operators import coref, embed, evaluate, extract, incremental, review
 from ..operators.components import components
-from ..operators.similarity import similar_pairs
+from ..operators.similarity import similar_links, similar_pairs
 from ..schema import EntitySchema, EntityType
 from ..sources.documents import spread
 from . import pipeline
@@ -179,7 +179,7 @@ def sim_pairs_blocked(spark, d):
 
 
 def component_roots(spark, d):
-    return components(similar_pairs(_numeric(spark, d, F.lit("Vector")), MERGE)).select("node", "root")
+    return components(similar_links(_numeric(spark, d, F.lit("Vector")), [MERGE])).select("node", "root")
 
 
 def cluster_ids(spark, d):
