@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..backends import CorefClient, checked_groups
-from ..functions import ids, scores
+from ..functions import ids, scores, tokens
 from ..schema import EntitySchema
 
-_GROUP_SCHEMA = "doc_id string, group_no int, canonical string, type string, confidence double, mention_ids array<string>"
+_GROUP_SCHEMA = "doc_id string, canonical string, type string, confidence double, mention_ids array<string>"
+_GROUP_ARROW = pa.schema([("doc_id", pa.string()), ("canonical", pa.string()), ("type", pa.string()), ("confidence", pa.float64()), ("mention_ids", pa.list_(pa.string()))])
 
 
 def unique(mentions: DataFrame) -> DataFrame:
@@ -27,20 +30,26 @@ def same_surface_groups(mentions: DataFrame, confidence: float = 0.9) -> DataFra
 
 
 def client_groups(mentions: DataFrame, docs: DataFrame, schema: EntitySchema, client: CorefClient) -> DataFrame:
-    """Groups by a coreference client, called once for each document that has mentions; its answer is validated."""
-
-    def run(key: tuple, ms: pd.DataFrame, body: pd.DataFrame) -> pd.DataFrame:
-        if ms.empty:
-            return pd.DataFrame(columns=["doc_id", "group_no", "canonical", "type", "confidence", "mention_ids"])
-        rows = ms.sort_values(["start", "end", "type"]).to_dict("records")
-        text = body["text"].iloc[0] if len(body) else ""
-        found = checked_groups(client.group(key[0], text, rows, schema), rows, schema)
-        return pd.DataFrame([(key[0], k, g.canonical, g.type, g.confidence, list(g.mention_ids)) for k, g in enumerate(found)], columns=["doc_id", "group_no", "canonical", "type", "confidence", "mention_ids"])
-
-    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    body = body.join(mentions.select("doc_id").distinct(), "doc_id", "left_semi")
-    left = unique(mentions).select("doc_id", "id", "start", "end", "text", "type", "score")
-    return left.groupBy("doc_id").cogroup(body.groupBy("doc_id")).applyInPandas(run, _GROUP_SCHEMA).drop("group_no")
+    """Groups by a coreference client, called once for each document that has mentions; its answer is validated.
+
+    A document's mentions and text are one row, so Python takes documents in Arrow
+    batches; a data frame for each would cost more than most clients' work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in tokens.pieces(batch.column(1)):
+                out = []
+                for doc_id, text, ms in zip(*(batch.column(c)[k].to_pylist() for c in range(3)), strict=True):
+                    rows = [{"doc_id": doc_id, **m} for m in sorted(ms, key=lambda m: (m["start"], m["end"], m["type"], m["id"]))]
+                    out += [(doc_id, g.canonical, g.type, g.confidence, list(g.mention_ids)) for g in checked_groups(client.group(doc_id, text, rows, schema), rows, schema)]
+                columns = zip(*out, strict=True) if out else [()] * len(_GROUP_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GROUP_ARROW, strict=True)], schema=_GROUP_ARROW)
+
+    listed = unique(mentions).groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end", "text", "type", "score")).alias("ms"))
+    body = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    rows = listed.join(body, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "ms")
+    return rows.mapInArrow(run, _GROUP_SCHEMA)
 
 
 def partition_violations(groups: DataFrame, mentions: DataFrame, schema: EntitySchema) -> DataFrame:

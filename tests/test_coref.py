@@ -40,6 +40,22 @@ def test_same_surface_and_client_agree(spark):
     assert ("d", "Person", ("m1",)) in key(first)
 
 
+def test_client_takes_documents_in_batches(spark):
+    """Once each document was a group of data frames of its own; texts may be missing, null or there twice."""
+    m = spark.createDataFrame([(d, f"{d}{k}", 9 - k, 10 - k, "x", "Person", 0.5, "s") for d in "abcd" for k in range(3)], MENTION)
+    docs = spark.createDataFrame([("a", "one"), ("b", None), ("c", "two"), ("c", "two")], "doc_id string, text string")
+
+    class Told:
+        def group(self, doc_id, text, mentions, schema):
+            assert [m["start"] for m in mentions] == [7, 8, 9] and mentions[0]["doc_id"] == doc_id
+            return [Group(tuple(m["id"] for m in mentions), text, "Person", 0.5)]
+
+    found = coref.client_groups(m, docs, SCHEMA, Told())
+    assert sorted((r.doc_id, r.canonical, list(r.mention_ids)) for r in found.collect()) == [("a", "one", ["a2", "a1", "a0"]), ("b", "", ["b2", "b1", "b0"]), ("c", "two", ["c2", "c1", "c0"]), ("d", "", ["d2", "d1", "d0"])]
+    plan = found._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan and "MapInArrow" in plan
+
+
 def test_partition_violations(spark):
     m = spark.createDataFrame(CURIE, MENTION)
     g = spark.createDataFrame([("d", "x", "Person", 0.9, ["m1", "zz"]), ("d", "y", "Nope", 0.9, ["m1"])], "doc_id string, canonical string, type string, confidence double, mention_ids array<string>")
