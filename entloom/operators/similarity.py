@@ -121,8 +121,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, kind: str = "type", node
 def similar_links(vectors: DataFrame, thresholds: Sequence[float], kind: str = "type", node: str = "node", vector: str = "vector") -> DataFrame:
     """(level, a, b): links that connect the same nodes as all pairs of :func:`similar_pairs` at each threshold, level being its index.
 
-    Each task brings its pairs down to a forest, so links grow with the nodes and not
-    with the pairs.
+    Each task brings its pairs down to a forest: it gives fewer links than it has
+    nodes, however many its pairs.
     """
     name = vectors.schema[node].dataType.simpleString()
 
